@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .packing import concat_and_cut
 from .quality_rules import quality_cascade
 
 
@@ -13,11 +15,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = concat_and_cut(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_concat_and_cut": op2_concat_and_cut,
     "op8_quality_cascade": op8_quality_cascade,
 }
 
