@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .language_id import language_id
 from .packing import concat_and_cut
 from .quality_rules import quality_cascade
+from .substring_dedup import dedup_windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_concat_and_cut": op2_concat_and_cut,
+    "op4_block_anchors": op4_block_anchors,
     "op6_language_profiles": op6_language_profiles,
     "op8_quality_cascade": op8_quality_cascade,
 }
