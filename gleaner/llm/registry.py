@@ -11,6 +11,7 @@ from .language_id import language_id
 from .packing import concat_and_cut
 from .quality_rules import quality_cascade
 from .substring_dedup import dedup_windows
+from .token_count import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_concat_and_cut": op2_concat_and_cut,
     "op4_block_anchors": op4_block_anchors,
+    "op5_unigram_count": op5_unigram_count,
     "op6_language_profiles": op6_language_profiles,
     "op8_quality_cascade": op8_quality_cascade,
 }
