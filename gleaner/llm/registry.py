@@ -12,6 +12,7 @@ from .packing import concat_and_cut
 from .quality_rules import quality_cascade
 from .substring_dedup import dedup_windows
 from .token_count import count_tokens
+from .toxicity import toxicity_held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_block_anchors": op4_block_anchors,
     "op5_unigram_count": op5_unigram_count,
     "op6_language_profiles": op6_language_profiles,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_cascade": op8_quality_cascade,
 }
 

@@ -98,9 +98,9 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each document the index of its first word (one more entry at the end)."""
-    solid = ~SPACE[buf]
+def word_spans(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs without a byte of ``gap``, and for each document the index of its first (one more entry at the end)."""
+    solid = ~gap[buf]
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     first = solid.copy()
