@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .language_id import language_id
 from .packing import concat_and_cut
+from .pii import replace_pii
 from .quality_rules import quality_cascade
 from .substring_dedup import dedup_windows
 from .token_count import count_tokens
@@ -26,6 +27,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+PII_KEY = b"gleaner surrogates, round one"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = concat_and_cut(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,6 +60,7 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_concat_and_cut": op2_concat_and_cut,
     "op4_block_anchors": op4_block_anchors,
     "op5_unigram_count": op5_unigram_count,
