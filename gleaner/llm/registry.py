@@ -14,6 +14,7 @@ from .quality_rules import quality_cascade
 from .substring_dedup import dedup_windows
 from .token_count import count_tokens
 from .toxicity import toxicity_held_out
+from .weak_labels import weak_label_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_label_quality(_table(spark, sf_dir, "documents"))
+
+
 def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -62,6 +67,7 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_concat_and_cut": op2_concat_and_cut,
+    "op3_weak_labels": op3_weak_labels,
     "op4_block_anchors": op4_block_anchors,
     "op5_unigram_count": op5_unigram_count,
     "op6_language_profiles": op6_language_profiles,
