@@ -172,7 +172,7 @@ def identify(
                 sure /= np.maximum(norm, 1e-9)[:, None]
                 best = sure.argmax(axis=1)
                 odds = np.exp(sharpness * (sure - sure.max(axis=1, keepdims=True)))
-                p = 1 / odds.sum(axis=1)
+                p = np.round(1 / odds.sum(axis=1), 6)
                 none = (letters == 0) | (len(langs) == 0)
                 pred = np.array([*langs, "und"], dtype=object)[np.where(none, len(langs), best)]
                 yield pa.record_batch(

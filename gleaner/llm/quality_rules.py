@@ -97,6 +97,8 @@ def _lines(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[np.nda
     cut = np.flatnonzero(buf == 10)
     begin = np.union1d(off[:-1], cut + 1)
     begin = begin[begin < len(buf)]
+    if not len(begin):
+        return np.zeros(n_docs, dtype=np.int64), np.zeros(n_docs, dtype=np.int64)
     end = np.append(begin[1:], len(buf))
     end = end - ((end > begin) & (buf[end - 1] == 10))
     some = np.searchsorted(starts, end) > np.searchsorted(starts, begin)

@@ -210,7 +210,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 n, best = counter.count(buf, starts, ends)
                 word_off = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(word_off)), pa.array(tx.per_doc(n, word_off)), pa.array(tx.per_doc(best, word_off))],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(word_off)), pa.array(tx.per_doc(n, word_off)), pa.array(np.round(tx.per_doc(best, word_off), 3))],
                     names=["doc_id", "n_words", "n_tokens", "score"],
                 )
 

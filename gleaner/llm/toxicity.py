@@ -206,7 +206,7 @@ def toxicity(
         for batch in batches:
             for lo, hi, buf, off in tx.text_chunks(batch.column("text")):
                 z = shared.value.features(buf, off) @ weights[:2] + weights[2]
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                p = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
                 )

@@ -236,7 +236,7 @@ def weak_label_quality(docs: DataFrame, fit_docs: int = 4000, cut: float = 0.4,
                 b = base_block(buf, off)
                 slots = features(b)
                 z = tx.per_doc(w[slots[0]] + w[slots[1]], b.word_off) / np.sqrt(np.maximum(2 * np.diff(b.word_off), 1)) + w[-1]
-                p = np.where(np.diff(b.word_off) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+                p = np.where(np.diff(b.word_off) > 0, np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9), 0.0)
                 votes = vote_codes(b)
                 cols = [votes, posterior(decode(votes), prior, table), p, p >= cut]
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, cols)], names=["doc_id", "votes", "posterior", "score", "kept"])

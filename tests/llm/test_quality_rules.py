@@ -22,6 +22,8 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, n_words long")
     check(rows, quality_cascade(df).collect())
     assert quality_cascade(df.limit(0)).count() == 0
+    blank = [(0, None), (1, ""), (2, "")]
+    check(blank, quality_cascade(spark.createDataFrame(blank, "doc_id long, text string").coalesce(1)).collect())
 
 
 def test_whole_table(spark, sf_dir):
