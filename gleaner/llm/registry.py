@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .containment import near_duplicates
 from .language_id import language_id
 from .packing import concat_and_cut
 from .pii import replace_pii
@@ -64,6 +65,10 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(_table(spark, sf_dir, "documents"))
 
 
+def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_concat_and_cut": op2_concat_and_cut,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_profiles": op6_language_profiles,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_cascade": op8_quality_cascade,
+    "op10_containment": op10_containment,
 }
 
 ORACLES: dict[str, str] = {}
