@@ -4,8 +4,10 @@
 2. Texts are partitioned by set size (half octaves). For texts d partitions apart, containment t of the smaller in the
    larger means a Jaccard similarity of at least t / (ratio + 1 - t), and the banding (rows and bands) for that distance
    is tuned for this threshold on its own.
-3. Band keys go to shards as packed arrays; a key's texts are compared by partition and a short sketch in blocks, and keys
-   with very many texts are cut into pairs of blocks that are tasks of their own. No pair is dropped.
+3. Band keys go to shards as packed arrays. The texts of a key are compared by sizes and a short sketch: all pairs of at most
+   ``few`` texts; of more, each with the leaders (texts that no smaller id stands for), so that a group of copies gives links
+   to its leaders and not all its pairs. Keys with very many texts are led in blocks, and pairs of blocks of leaders are
+   tasks of their own. No text is left out.
 4. Candidates are checked exactly on their full shingle sets, once for each family of connected candidates; large families are
    split into pairs of blocks as well.
 5. Links whose intersection is most of either set join classes; a text without such a link that is nearly all contained in larger
@@ -87,7 +89,7 @@ def partition_of(n: np.ndarray) -> np.ndarray:
 class Keys:
     """Band keys of some texts, ordered by key."""
 
-    FIELDS = (("key", np.uint64), ("id", np.int64), ("part", np.uint8), ("band", np.uint8), ("rows", np.uint8))
+    FIELDS = (("key", np.uint64), ("id", np.int64), ("n", np.uint32), ("band", np.uint8), ("rows", np.uint8))
 
     def __init__(self, cols: dict[str, np.ndarray], sketch: np.ndarray) -> None:
         self.cols, self.sketch = cols, sketch
@@ -113,28 +115,55 @@ class Keys:
         return cls({k: np.concatenate([p.cols[k] for p in parts]) for k, _ in cls.FIELDS}, np.concatenate([p.sketch for p in parts]))
 
 
-def good_pairs(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]]) -> np.ndarray:
-    """(pairs, 2) ids of those pairs of entries whose partitions belong to this banding and whose sketches allow a link."""
+def compare(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of entries: which may be links found by this banding, and which are surely alike.
+
+    The sketch must agree about as often as the pair's own Jaccard threshold says, less 1.6 standard deviations.
+    """
     c = k.cols
-    apart = np.abs(c["part"][i].astype(np.int16) - c["part"][j])
-    inside = apart <= FAR
-    apart = np.minimum(apart, FAR)
+    ni, nj = c["n"][i].astype(np.float64), c["n"][j].astype(np.float64)
+    apart = np.abs(partition_of(ni).astype(np.int16) - partition_of(nj))
     rows, bands = np.array([p[0] for p in plans]), np.array([p[1] for p in plans])
-    ok = inside & (rows[apart] == c["rows"][i]) & (c["band"][i] < bands[apart]) & (c["id"][i] != c["id"][j])
-    i, j, apart = i[ok], j[ok], apart[ok]
-    same = np.zeros(len(i), dtype=np.int16)
-    for s in range(0, len(i), 1 << 16):
-        same[s : s + (1 << 16)] = (k.sketch[i[s : s + (1 << 16)]] == k.sketch[j[s : s + (1 << 16)]]).sum(axis=1)
-    ok = same >= np.array([5, 3, 2, 1])[apart]
-    a, b = c["id"][i[ok]], c["id"][j[ok]]
+    inside = np.minimum(apart, FAR)
+    ok = (apart <= FAR) & (rows[inside] == c["rows"][i]) & (c["band"][i] < bands[inside]) & (c["id"][i] != c["id"][j])
+    at = np.flatnonzero(ok)
+    i, j, q, x = i[at], j[at], np.minimum(ni[at], nj[at]), np.maximum(ni[at], nj[at])
+    jac = t * q / (q + x - t * q)
+    p = jac + (1 - jac) / 256
+    least = SKETCH * p - 1.6 * np.sqrt(SKETCH * p * (1 - p))
+    same = np.zeros(len(at), dtype=np.int16)
+    for s in range(0, len(at), 1 << 15):
+        same[s : s + (1 << 15)] = (k.sketch[i[s : s + (1 << 15)]] == k.sketch[j[s : s + (1 << 15)]]).sum(axis=1)
+    may, sure = np.zeros(len(ok), dtype=bool), np.zeros(len(ok), dtype=bool)
+    may[at] = same >= np.maximum(np.floor(least), 1)
+    sure[at] = (same >= SKETCH // 2) & (x <= 1.25 * q)
+    return may, sure & may
+
+
+def pair_ids(k: Keys, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a, b = k.cols["id"][i], k.cols["id"][j]
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
+def lead(k: Keys, plans: list[tuple[int, int]], t: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pairs of leaders with others, and the leaders. A text surely like a leader follows it and leads none; nothing is left out."""
+    left, leaders, pairs = np.arange(len(k.cols["id"])), [], []
+    while len(left):
+        first, left = left[0], left[1:]
+        leaders.append(first)
+        if len(left):
+            may, sure = compare(k, np.full(len(left), first), left, plans, t)
+            pairs.append(pair_ids(k, np.full(int(may.sum()), first), left[may]))
+            left = left[~sure]
+    return pairs, np.array(leaders, dtype=np.int64)
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.6,
     same: float = 0.45,
     absorb: float = 0.85,
+    few: int = 32,
     hot: int = 2000,
     block_shingles: int = 2_000_000,
     broadcast_rows: int = 500_000,
@@ -144,7 +173,7 @@ def near_duplicates(
     """One row for each row of docs: its class (the id of the class's largest text), its text's links to other texts, its copies.
 
     A link is a containment of at least ``threshold`` of the smaller shingle set; it is symmetric if at least ``same`` of the
-    larger set is shared too. ``kept`` marks one row of each class. Ids are taken to be unique; rows that share one share its class.
+    larger set is shared too. ``n_links`` counts the links found, in large groups those with leaders. ``kept`` marks one row of each class. Ids are taken to be unique; rows that share one share its class.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plans = [tune(threshold, d) for d in range(FAR + 1)]
@@ -176,7 +205,7 @@ def near_duplicates(
                 continue
             sig = np.frombuffer(b"".join(x.as_py() for x in batch.column("sig")), dtype=np.uint32).reshape(-1, HASHES)
             ids = batch.column("id").to_numpy()
-            part = partition_of(batch.column("n").to_numpy())
+            n = batch.column("n").to_numpy()
             sketch = np.ascontiguousarray((sig[:, HASHES - SKETCH :] & 0xFF).astype(np.uint8))
             parts = []
             for rows, bands in most.items():
@@ -184,7 +213,7 @@ def near_duplicates(
                     key = np.full(len(ids), (rows << 16) + j, dtype=np.uint64)
                     for q in range(rows):
                         key = tx.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j * rows + q])
-                    cols = {"key": key, "id": ids, "part": part, "band": np.full(len(ids), j, np.uint8), "rows": np.full(len(ids), rows, np.uint8)}
+                    cols = {"key": key, "id": ids, "n": n, "band": np.full(len(ids), j, np.uint8), "rows": np.full(len(ids), rows, np.uint8)}
                     parts.append(Keys(cols, sketch))
             whole = Keys.join(parts)
             shard = (whole.cols["key"] % np.uint64(n_shards)).astype(np.int64)
@@ -212,22 +241,30 @@ def near_duplicates(
 
     def meet(table: pa.Table) -> pa.Table:
         k = Keys.join([Keys.unpack(x.as_py()) for x in table.column("keys")])
-        k = k.take(np.argsort(k.cols["key"], kind="stable"))
+        k = k.take(np.lexsort((k.cols["id"], k.cols["key"])))
         key = k.cols["key"]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(cut)
-        work = []
-        for r in np.flatnonzero(size > hot):
-            blocks = [k.take(slice(lo, min(lo + hot, cut[r + 1]))).pack() for lo in range(cut[r], cut[r + 1], hot)]
-            work += [(blocks[x], blocks[y]) for x in range(len(blocks)) for y in range(x, len(blocks))]
+        work, pairs = [], []
+        for r in np.flatnonzero(size > few):
+            blocks = []
+            for lo in range(cut[r], cut[r + 1], hot):
+                block = k.take(slice(lo, min(lo + hot, cut[r + 1])))
+                got, leaders = lead(block, plans, threshold)
+                pairs += got
+                blocks.append(block.take(leaders))
+            if len(blocks) > 1:
+                packed = [b.pack() for b in blocks]
+                work += [(packed[x], packed[y]) for x in range(len(blocks)) for y in range(x + 1, len(blocks))]
         end = np.repeat(cut[1:], size)
-        end[np.repeat(size > hot, size)] = 0
-        at, pairs, step = np.arange(len(key)), [], 1
+        end[np.repeat(size > few, size)] = 0
+        at, step = np.arange(len(key)), 1
         while True:
             at = at[at + step < end[at]]
             if not len(at):
                 return as_rows(pairs, work)
-            pairs.append(good_pairs(k, at, at + step, plans))
+            may, _ = compare(k, at, at + step, plans, threshold)
+            pairs.append(pair_ids(k, at[may], at[may] + step))
             step += 1
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +272,11 @@ def near_duplicates(
             for left, right in zip(batch.column("left"), batch.column("right")):
                 one, two = Keys.unpack(left.as_py()), Keys.unpack(right.as_py())
                 k, n = Keys.join([one, two]), len(one.cols["id"])
-                i, j = np.divmod(np.arange(n * len(two.cols["id"])), len(two.cols["id"]))
-                p = np.unique(good_pairs(k, i, j + n, plans), axis=0)
+                pairs, every = [np.zeros((0, 2), np.int64)], np.arange(n, len(k.cols["id"]))
+                for i in range(n):
+                    may, _ = compare(k, np.full(len(every), i), every, plans, threshold)
+                    pairs.append(pair_ids(k, np.full(int(may.sum()), i), every[may]))
+                p = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     met = written(texts.select("id", "n", "sig").mapInArrow(band, "shard long, keys binary").groupBy("shard").applyInArrow(meet, "a long, b long, left binary, right binary"))

@@ -48,8 +48,10 @@ def test_links_against_brute_force(spark):
     assert all(got[i].n_links <= degree[i] for i in first.values())
     assert found >= 0.97 * sum(degree.values()) > 0
     assert all(got[i].class_id == got[first[t]].class_id for i, t in rows)
-    small = ct.near_duplicates(docs, hot=3, block_shingles=500, broadcast_rows=0).collect()
+    small = ct.near_duplicates(docs, block_shingles=500, broadcast_rows=0).collect()
     assert {tuple(r) for r in small} == {tuple(r) for r in got.values()}
+    led = ct.near_duplicates(docs, few=2, hot=3).collect()
+    assert sum(r.class_id != got[r.doc_id].class_id for r in led) <= 0.02 * len(led)
 
 
 def test_edges(spark):
