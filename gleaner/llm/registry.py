@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .containment import near_duplicates
+from .decontamination import contaminated_pairs
 from .language_id import language_id
 from .packing import concat_and_cut
 from .pii import replace_pii
@@ -65,6 +66,10 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(_table(spark, sf_dir, "documents"))
 
 
+def op9_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_profiles": op6_language_profiles,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_latent_retrieval": op9_latent_retrieval,
     "op10_containment": op10_containment,
 }
 
