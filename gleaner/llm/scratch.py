@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,10 +36,18 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def release() -> None:
-    """Delete every table written so far; for callers whose results no longer depend on them."""
-    while _written:
-        spark, path = _written.pop()
+def kept(df: DataFrame) -> DataFrame:
+    """The same for a result that outlives ``release``; deleted at the end of the process."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gleaner-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,4 +56,9 @@ def release() -> None:
             pass
 
 
-atexit.register(release)
+def release() -> None:
+    """Delete every table written so far; for callers whose results no longer depend on them."""
+    _delete(_written)
+
+
+atexit.register(lambda: _delete(_written + _kept))
