@@ -4,7 +4,543 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import html, metrics, nodes
+from .operators import graph, keyed, records, sampling
+from .plans import actions, cache, explore, fetch
+from .sources import files
+from .streaming import events as ev
+from .view import View
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# projections, filters, forks
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def select_project(spark: SparkSession, sf: str) -> DataFrame:
+    return View(t(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")).df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
+def filter_flatmap(spark: SparkSession, sf: str) -> DataFrame:
+    return View(t(spark, sf, "lineitem")).filter("l_quantity > 45 AND l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity").df
+
+
+@query("SELECT p_partkey, CAST(u AS INTEGER) AS value FROM part, LATERAL (SELECT unnest(range(0, p_size % 5)) AS u)")
+def flat_map_range(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("p_size") % 5
+    return View(t(spark, sf, "part")).flat_map(F.when(n > 0, F.sequence(F.lit(0), n - 1)), keep=["p_partkey"]).df
+
+
+_TAGS = "string_split(p_type, ' ')"
+
+
+@query(f"SELECT p_partkey, [CAST(i - 1 AS INTEGER)] AS ord, {_TAGS}[i] AS word FROM part, LATERAL (SELECT unnest(range(1, len({_TAGS}) + 1)) AS i) WHERE p_size > 10")
+def fork_inner(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.when(F.col("p_size") > 10, F.split("p_type", " "))
+    return View(t(spark, sf, "part").select("p_partkey", "p_type", "p_size")).fork(words, "word", "ord", "inner").select("p_partkey", "ord", "word").df
+
+
+@query(
+    f"""SELECT p_partkey, [CAST(i - 1 AS INTEGER)] AS ord, {_TAGS}[i] AS word FROM part, LATERAL (SELECT unnest(range(1, len({_TAGS}) + 1)) AS i) WHERE p_size > 10
+    UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size <= 10"""
+)
+def fork_outer(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.when(F.col("p_size") > 10, F.split("p_type", " "))
+    return View(t(spark, sf, "part").select("p_partkey", "p_type", "p_size")).fork(words, "word", "ord", "outer").select("p_partkey", "ord", "word").df
+
+
+@query("SELECT c_custkey, c_name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer")
+def with_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return View(t(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")).with_columns(cents=F.round(F.col("c_acctbal") * 100).cast("long")).drop("c_acctbal").df
+
+
+@query("SELECT s_suppkey, k AS kind, CASE k WHEN 'low' THEN s_acctbal - 1 ELSE s_acctbal + 1 END AS bound FROM supplier, (VALUES ('low'), ('high')) v(k) WHERE s_acctbal > 0")
+def with_columns_many(spark: SparkSession, sf: str) -> DataFrame:
+    bal = F.col("s_acctbal")
+    both = F.array(F.struct(F.lit("low").alias("kind"), (bal - 1).alias("bound")), F.struct(F.lit("high").alias("kind"), (bal + 1).alias("bound")))
+    return View(t(spark, sf, "supplier")).with_columns_many(F.when(bal > 0, both)).select("s_suppkey", "kind", "bound").df
+
+
+@query("SELECT c_custkey, [c_name, c_mktsegment] AS c_name FROM customer")
+def append_alias(spark: SparkSession, sf: str) -> DataFrame:
+    return View(t(spark, sf, "customer")).append_to("c_name", F.col("c_mktsegment")).select("c_custkey", "c_name").df
+
+
+@query("SELECT r_regionkey, r_name, 'r/' || r_name || '.html' AS path FROM region")
+def interpolate_path(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "region").select("r_regionkey", "r_name", F.format_string("r/%s.html", "r_name").alias("path"))
+
+
+# documents: HTML and JSON
+
+_LINKS = r"""regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', {g})"""
+_UNESC = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+@query(
+    f"""SELECT page_id, [CAST(i - 1 AS INTEGER)] AS ord, {_UNESC.format(f"{_LINKS.format(g=1)}[i]")} AS href, {_UNESC.format(f"{_LINKS.format(g=2)}[i]")} AS text
+    FROM pages, LATERAL (SELECT unnest(range(1, len({_LINKS.format(g=1)}) + 1)) AS i)"""
+)
+def html_find_all(spark: SparkSession, sf: str) -> DataFrame:
+    links = html.select_all(F.col("html"), "nav li a", ["@href", "text"])
+    out = View(t(spark, sf, "pages")).select("page_id", links.alias("links")).fork(F.col("links"), "link", "ord", "inner").df
+    return out.select("page_id", "ord", F.col("link.href").alias("href"), F.col("link.text").alias("text"))
+
+
+@query(f"SELECT page_id, trim({_UNESC.format(r"""regexp_extract(html, '<title>([^<]*)</title>', 1)""")}) AS title FROM pages")
+def html_title(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", F.coalesce(html.select_first(F.col("html"), "head > title", "own_text"), F.lit("")).alias("title"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""")
+def html_attr_lang(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", html.select_only(F.col("html"), "html", "@lang").alias("lang"))
+
+
+@query(f"SELECT page_id, CAST(len({_LINKS.format(g=1)}) AS INTEGER) AS n FROM pages")
+def html_children_count(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", F.size(html.select_values(F.col("html"), "nav > ul > li", "tag")).alias("n"))
+
+
+@query(
+    f"""SELECT page_id, u AS url FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || {_UNESC.format(f"unnest({_LINKS.format(g=1)})")} AS u FROM pages)"""
+)
+def html_href_absolute(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", F.explode(html.select_values(F.col("html"), "li > a[href]", "href", F.col("url"))).alias("url"))
+
+
+@query(f"SELECT page_id, 'html/body/nav/ul/li/a' AS crumb FROM pages WHERE len({_LINKS.format(g=1)}) > 0")
+def html_breadcrumb(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", html.select_first(F.col("html"), "nav a", "breadcrumb").alias("crumb")).filter("crumb IS NOT NULL")
+
+
+@query()
+def html_siblings_window(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", html.sibling_texts(F.col("html"), "nav li", -1, 1).alias("rows"))
+
+
+@query()
+def html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", F.explode(html.select_all(F.col("html"), "body", ["main_text"])).alias("s")).select("page_id", "s.main_text")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_find_all(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "events").select("event_id", F.try_element_at(nodes.json_find_all(F.col("props"), "k"), F.lit(1)).alias("k"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "events").select("event_id", nodes.json_path(F.col("props"), "$.k").alias("k"))
+
+
+@query("SELECT page_id, 'text/html' AS mime, 'UTF-8' AS charset FROM pages")
+def detect_document(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.encode("html", "utf-8")
+    mime = nodes.detect_mime(raw, name=F.col("url"))
+    return t(spark, sf, "pages").select("page_id", mime.alias("mime"), nodes.detect_charset(raw, mime).alias("charset"))
+
+
+@query("SELECT page_id, CASE WHEN NOT regexp_matches(html, '(?is)<title\\b[^>]*>\\s*\\S') THEN 'no title' END AS problem FROM pages")
+def accept_has_title(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", nodes.accept("has_title", html=F.col("html")).alias("problem"))
+
+
+# fetch
+
+_TRACE = "'u' || CAST(user_id % 20 AS VARCHAR)"
+
+
+def _pages_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("url"), "html")
+
+
+def _fetched_events(spark: SparkSession, sf: str, locality: str) -> DataFrame:
+    uri = F.concat(F.lit("page:"), (F.col("user_id") % 20).cast("string"))
+    rows = View(t(spark, sf, "events").select("event_id", "user_id"))
+    out = rows.fetch(F.array(actions.get_column(uri)), fetch.table_fetcher(_pages_by_number(spark, sf)), locality=locality).df
+    return out.select("event_id", "uri", "kind", F.length("content").alias("n_chars"), F.col("_index").alias("index"))
+
+
+_FETCH = """SELECT event_id, 'page:' || CAST(user_id % 20 AS VARCHAR) AS uri, 'doc' AS kind, CAST(length(html) AS INTEGER) AS n_chars, CAST(0 AS INTEGER) AS index
+    FROM events JOIN pages ON page_id = user_id % 20"""
+
+
+@query(_FETCH)
+def fetch_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetched_events(spark, sf, "wide")
+
+
+@query(_FETCH)
+def fetch_narrow(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetched_events(spark, sf, "narrow")
+
+
+@query(_FETCH)
+def fetch_cache_aware(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetched_events(spark, sf, "cache_aware")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(1 AS BIGINT) AS traces FROM events GROUP BY event_type")
+def fetch_key_by(spark: SparkSession, sf: str) -> DataFrame:
+    uri = F.concat(F.lit("page:"), (F.col("user_id") % 20).cast("string"))
+    rows = fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(uri)), fetch.table_fetcher(_pages_by_number(spark, sf)), key_by=F.col("event_type"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("uri").alias("traces"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 20 < 10 THEN 'doc' ELSE 'error' END AS kind FROM events")
+def fetch_from_cache_only(spark: SparkSession, sf: str) -> DataFrame:
+    uri = F.concat(F.lit("page:"), (F.col("user_id") % 20).cast("string"))
+    pages = _pages_by_number(spark, sf).filter("CAST(substring(url, 6) AS INT) < 10")
+    docs = fetch.table_fetcher(pages)(pages.select(actions.trace_key(actions.get_column(F.col("url"))).alias("_trace_key"), actions.get_column(F.col("url")).alias("_trace")))
+    rows = fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(uri)), fetch.table_fetcher(pages), cached=docs, remote=False)
+    return rows.select("event_id", "kind")
+
+
+@query("SELECT r_name || '>' || n_name AS trace FROM region, nation UNION ALL SELECT n_name FROM nation")
+def fetch_trace_algebra(spark: SparkSession, sf: str) -> DataFrame:
+    r, n = t(spark, sf, "region"), t(spark, sf, "nation")
+    both = records.cartesian(n.select("n_name"), r.select("r_name")).select(F.concat_ws(">", "r_name", "n_name").alias("trace"))
+    return both.unionByName(n.select(F.col("n_name").alias("trace")))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS index FROM lineitem")
+def fetch_index(spark: SparkSession, sf: str) -> DataFrame:
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    out = fetch.fetch_index(t(spark, sf, "lineitem"), ["l_orderkey"], order)
+    return out.select("l_orderkey", "l_linenumber", F.col("index").cast("long").alias("index"))
+
+
+@query(
+    """WITH RECURSIVE seq AS (SELECT user_id, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    walk AS (SELECT user_id, i, name, [name] AS seen, 0 AS seg FROM seq WHERE i = 1
+      UNION ALL SELECT s.user_id, s.i, s.name, CASE WHEN list_contains(w.seen, s.name) THEN [s.name] ELSE list_append(w.seen, s.name) END,
+        w.seg + CASE WHEN list_contains(w.seen, s.name) THEN 1 ELSE 0 END FROM walk w JOIN seq s ON s.user_id = w.user_id AND s.i = w.i + 1)
+    SELECT user_id, CAST(i - 1 AS INTEGER) AS pos, name, CAST(seg AS INTEGER) AS scope FROM walk"""
+)
+def rescope_distinct_names(spark: SparkSession, sf: str) -> DataFrame:
+    e = t(spark, sf, "events")
+    per = fetch.observations(e, ["user_id"], F.col("event_type"), F.col("event_id"), F.struct("ts", "event_id"))
+    names = F.transform("trajectory", lambda o: o["name"])
+    out = per.select("user_id", F.posexplode(F.arrays_zip(names.alias("name"), nodes.distinct_name_scopes(names).alias("scope"))).alias("pos", "s"))
+    return out.select("user_id", "pos", F.col("s.name").alias("name"), F.col("s.scope").alias("scope"))
+
+
+# exploration
+
+
+@query(
+    """WITH RECURSIVE walk AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0
+    UNION ALL SELECT c.conv_id, c.turn, depth + 1 FROM walk w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1)
+    SELECT conv_id, turn, CAST(depth AS INTEGER) AS depth FROM walk"""
+)
+def explore_next_page(spark: SparkSession, sf: str) -> DataFrame:
+    c = t(spark, sf, "conversations").select("conv_id", "turn")
+    key = F.struct("conv_id", "turn").alias("page")
+
+    def step(frontier: DataFrame) -> DataFrame:
+        nxt = frontier.select(F.col("page.conv_id").alias("conv_id"), (F.col("page.turn") + 1).alias("turn"), "lineage").join(c, ["conv_id", "turn"])
+        return nxt.select(key, "lineage", F.lit(0).cast("long").alias("pos"))
+
+    out = explore.explore(c.filter("turn = 0").select(key), step, "page")
+    return out.select("page.conv_id", "page.turn", "depth")
+
+
+@query(
+    """SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 2 FROM customer UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"""
+)
+def explore_tree(spark: SparkSession, sf: str) -> DataFrame:
+    def edges(table: str, child: str, cp: str, parent: str, pp: str) -> DataFrame:
+        return t(spark, sf, table).select(F.concat(F.lit(pp), parent).alias("src"), F.concat(F.lit(cp), child).alias("dst"))
+
+    links = edges("nation", "n_nationkey", "n", "n_regionkey", "r").unionAll(edges("customer", "c_custkey", "c", "c_nationkey", "n")).unionAll(edges("orders", "o_orderkey", "o", "o_custkey", "c"))
+    roots = t(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return explore.explore(roots, explore.edges_step(links, "node", "src", "dst"), "node", max_depth=4).select("node", "depth")
+
+
+_GRAPH = """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0),
+    ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    walk AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN ways ON a = node WHERE depth < 4)
+    SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node"""
+
+
+def _bipartite(spark: SparkSession, sf: str) -> DataFrame:
+    # the stated graph of the query, not a sample of a larger task
+    e = t(spark, sf, "lineitem").filter("l_orderkey % 40 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    return e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@query(_GRAPH)
+def explore_graph_min_depth(spark: SparkSession, sf: str) -> DataFrame:
+    root = spark.range(1).select(F.lit("s1").alias("node"))
+    return explore.explore(root, explore.edges_step(_bipartite(spark, sf), "node", "src", "dst"), "node", max_depth=5).select("node", "depth")
+
+
+@query(f"SELECT * FROM ({_GRAPH}) WHERE depth >= 2")
+def explore_range_min(spark: SparkSession, sf: str) -> DataFrame:
+    root = spark.range(1).select(F.lit("s1").alias("node"))
+    return explore.explore(root, explore.edges_step(_bipartite(spark, sf), "node", "src", "dst"), "node", min_depth=2, max_depth=5).select("node", "depth")
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || page_id AS a, {_UNESC.format(f"unnest({_LINKS.format(g=1)})")} AS b FROM pages),
+    ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    walk AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN ways ON a = node WHERE depth < 2)
+    SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node"""
+)
+def explore_shared_links(spark: SparkSession, sf: str) -> DataFrame:
+    e = t(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("src"), F.explode(html.select_values(F.col("html"), "nav li a", "@href")).alias("dst")).distinct()
+    both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    root = spark.range(1).select(F.lit("p0").alias("node"))
+    return explore.explore(root, explore.edges_step(both, "node", "src", "dst"), "node", max_depth=3).select("node", "depth")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b, CAST(1 + n_nationkey % 4 AS DOUBLE) AS w FROM nation
+      UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25, 5.0 FROM nation),
+    walk AS (SELECT 0 AS node, 0.0::DOUBLE AS cost, 0 AS d UNION SELECT b, cost + w, d + 1 FROM walk JOIN e ON a = node WHERE d < 25 AND cost + w <= 60)
+    SELECT CAST(node AS INTEGER) AS node, min(cost) AS cost FROM walk GROUP BY node"""
+)
+def explore_cheapest(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = t(spark, sf, "nation"), F.col("n_nationkey")
+    e = n.select(k.alias("src"), ((k * 7 + 3) % 25).alias("dst"), (1 + k % 4).cast("double").alias("w"))
+    e = e.unionAll(n.select(k.alias("src"), ((k + 1) % 25).alias("dst"), F.lit(5.0).alias("w")))
+    return explore.cheapest_paths(e, "src", "dst", "w", 0)
+
+
+# cache
+
+_T = "TIMESTAMP '2024-01-10 00:00:00'"
+
+
+@query(f"SELECT user_id, max(ts) AS ts, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events WHERE ts < {_T} GROUP BY user_id")
+def cache_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    latest = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    return keyed.reduce_latest(e.filter(F.col("ts") < latest), "user_id", "ts", "event_id")
+
+
+@query(f"SELECT user_id, max(ts) AS ts FROM events WHERE ts < {_T} AND ts >= {_T} - INTERVAL 2 DAY GROUP BY user_id")
+def cache_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    earliest, latest = cache.time_range(now, 2 * 86400, wayback=now)
+    return cache.as_of(e, "user_id", "ts", earliest, latest)
+
+
+# records
+
+
+@query("SELECT c_custkey, n_name AS name, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def record_merge_right(spark: SparkSession, sf: str) -> DataFrame:
+    c = t(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_nationkey")
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"), "n_regionkey")
+    return records.merge(c, n, [("c_nationkey", "c_nationkey")], "right")
+
+
+@query("SELECT c_custkey, c_name AS name, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def record_merge_left(spark: SparkSession, sf: str) -> DataFrame:
+    c = t(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_nationkey")
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"), "n_regionkey")
+    return records.merge(c, n, [("c_nationkey", "c_nationkey")], "left")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, n_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def record_merge_no_conflict(spark: SparkSession, sf: str) -> DataFrame:
+    c, n = t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), t(spark, sf, "nation").select("n_nationkey", "n_name")
+    return records.merge(c, n, [("c_nationkey", "n_nationkey")], "error")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def record_cartesian(spark: SparkSession, sf: str) -> DataFrame:
+    return records.cartesian(t(spark, sf, "region").select("r_name"), t(spark, sf, "nation").select("n_name"), "error")
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name FROM part")
+def record_explode(spark: SparkSession, sf: str) -> DataFrame:
+    return records.explode_field(t(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("p_name")), "p_name")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation")
+def record_sort(spark: SparkSession, sf: str) -> DataFrame:
+    n = t(spark, sf, "nation")
+    return n.withColumn("place", F.row_number().over(Window.orderBy("n_regionkey", "n_name")).cast("long"))
+
+
+# by key
+
+
+@query("SELECT nationkey, count(*) AS n, round(sum(bal), 2) AS bal FROM (SELECT c_nationkey AS nationkey, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY nationkey")
+def union_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("bal"))
+    s = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("bal"))
+    return keyed.union_by_key(c, s, "nationkey", n=F.count("*"), bal=F.round(F.sum("bal"), 2))
+
+
+@query(
+    """SELECT nationkey, count(*) AS n FROM (SELECT c_nationkey AS nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT s_nationkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer)) GROUP BY nationkey"""
+)
+def intersect_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    c, s = t(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey")), t(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey"))
+    return keyed.intersect_by_key(c, s, "nationkey", n=F.count("*"))
+
+
+@query("SELECT n_nationkey AS nationkey, n_name, s.n, s.names FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, list_sort(list(s_name)) AS names FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
+def cogroup_left_outer(spark: SparkSession, sf: str) -> DataFrame:
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name")
+    s = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey"), "s_name")
+    return keyed.cogroup_left(n, s, "nationkey", n=F.count("*"), names=F.sort_array(F.collect_list("s_name")))
+
+
+@query("SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def reduce_latest(spark: SparkSession, sf: str) -> DataFrame:
+    e = t(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return keyed.reduce_latest(e, "user_id", "ts", "event_id")
+
+
+@query("SELECT 0 AS batch, round(sum(c_acctbal), 2) AS value FROM customer UNION ALL SELECT 1, round(sum(s_acctbal), 2) FROM supplier")
+def batch_reduce(spark: SparkSession, sf: str) -> DataFrame:
+    frames = [t(spark, sf, "customer").select(F.col("c_acctbal").alias("x")), t(spark, sf, "supplier").select(F.col("s_acctbal").alias("x"))]
+    return keyed.batch_reduce(frames, lambda c: F.round(F.sum(c), 2), "x")
+
+
+# sampling, order, sets, built-ins
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank FROM lineitem) WHERE rank <= 2"""
+)
+def sample_first_n(spark: SparkSession, sf: str) -> DataFrame:
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return sampling.sample_groups(t(spark, sf, "lineitem"), ["l_orderkey"], 2, order).select("l_orderkey", "l_linenumber", "l_partkey", "rank")
+
+
+@query("SELECT o_custkey, CAST(floor(count(*) * 0.5) AS INTEGER) AS n FROM orders GROUP BY o_custkey")
+def sample_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    per = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    return per.select("o_custkey", F.size(sampling.by_ratio(F.col("keys"), 0.5)).alias("n"))
+
+
+@query("SELECT o_custkey, CAST(least(count(*), 3) AS INTEGER) AS n FROM orders GROUP BY o_custkey")
+def sample_size(spark: SparkSession, sf: str) -> DataFrame:
+    per = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    return per.select("o_custkey", F.size(sampling.to_size(F.col("keys"), 3)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+def sort_by(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
+    return View(o).sort_by("o_orderdate", "o_orderkey").df
+
+
+@query("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT c_name FROM customer")
+def union_bag(spark: SparkSession, sf: str) -> DataFrame:
+    c, s = View(t(spark, sf, "customer").select(F.col("c_name").alias("name"))), View(t(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+    return c.union(s, c).df
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT event_id, user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events")
+def window_lag(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") - F.lag("event_id").over(w)).alias("gap"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def windowed_events(spark: SparkSession, sf: str) -> DataFrame:
+    out = ev.windowed_counts(t(spark, sf, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# names, paths, casts, sources
+
+
+@query("SELECT page_id, substring(regexp_replace(url, '[^A-Za-z0-9_.\\-~]', '_', 'g'), 1, 255) AS name FROM pages")
+def canonize_file_name(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", nodes.canonize_file_name(F.col("url")).alias("name"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g') AS name FROM pages")
+def canonize_column_name(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", nodes.canonize_column_name(F.col("url")).alias("name"))
+
+
+@query("SELECT page_id, 'GET~' || substring(regexp_replace(url, '[^A-Za-z0-9_.\\-~]', '_', 'g'), 1, 255) || '~' || substring(sha256('GET' || chr(1) || url), 1, 16) AS path FROM pages")
+def trace_path_flat(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", nodes.trace_path_flat(F.array(F.lit("GET"), F.col("url"))).alias("path"))
+
+
+@query(
+    """SELECT c_custkey, CAST(h AS BIGINT) AS h FROM (SELECT c_custkey, CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS h FROM
+    (SELECT c_custkey, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)), lambda a, c: (31 * a + c) % 18446744073709551616) AS u FROM customer))"""
+)
+def long_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "customer").select("c_custkey", nodes.long_hash(F.col("c_name")).alias("h"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN false WHEN 'O' THEN true END AS flag FROM orders")
+def try_boolean(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.when(F.col("o_orderstatus") == "F", "NO").when(F.col("o_orderstatus") == "O", "").otherwise("perhaps")
+    return t(spark, sf, "orders").select("o_orderkey", nodes.try_boolean(text).alias("flag"))
+
+
+@query("SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def delimited_text(spark: SparkSession, sf: str) -> DataFrame:
+    m = files.delimited_to_map(F.concat_ws("|", "n_name", "n_regionkey"), "name|region", "|")
+    return t(spark, sf, "nation").select("n_nationkey", m.alias("m")).select("n_nationkey", F.col("m")["name"].alias("name"), F.col("m")["region"].alias("region"))
+
+
+@query("SELECT c_custkey, c_name AS uri, 'none' AS kind FROM customer")
+def attribute_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.create_map(F.lit("Path"), F.col("c_name"), F.lit("size"), F.col("c_acctbal").cast("string"))
+    return t(spark, sf, "customer").select("c_custkey", nodes.lookup(m, "URI", "path").alias("uri"), nodes.lookup(m, "type", default="none").alias("kind"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT user_id % 300) AS traces, count(*) FILTER (WHERE user_id % 300 IN (SELECT page_id FROM pages)) AS docs, count(*) FILTER (WHERE user_id % 300 NOT IN (SELECT page_id FROM pages)) AS failures, CAST(0 AS BIGINT) AS nodocs FROM events")
+def metrics_counts(spark: SparkSession, sf: str) -> DataFrame:
+    uri = F.concat(F.lit("page:"), (F.col("user_id") % 300).cast("string"))
+    return metrics.fetch_metrics(fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(uri)), fetch.table_fetcher(_pages_by_number(spark, sf))))
+
+
+@query("SELECT r_regionkey AS src, n_nationkey + 100 AS dst FROM region, nation WHERE n_regionkey = r_regionkey AND r_regionkey <> 2")
+def graph_evict(spark: SparkSession, sf: str) -> DataFrame:
+    r, n = t(spark, sf, "region").select(F.col("r_regionkey").alias("id")), t(spark, sf, "nation").select((F.col("n_nationkey") + 100).alias("id"), "n_regionkey")
+    g = graph.Graph(r.unionByName(n.select("id")), n.select(F.col("n_regionkey").alias("src"), F.col("id").alias("dst")))
+    return g.evict(spark.range(2, 3).select(F.col("id").cast("int").alias("id"))).edges
