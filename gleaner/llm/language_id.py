@@ -153,7 +153,7 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast((langs, table))
     extra = [c for c in keep or [] if c not in ("doc_id", "text", "lang_pred", "score")]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
-    fields = [f for f in base.schema.fields if f.name in extra]
+    fields = [f for f in base.schema.fields if f.name in extra or (f.name == "text" and "text" in (keep or []))]
     schema = base.select("doc_id").schema
     for f in fields:
         schema = schema.add(f)
