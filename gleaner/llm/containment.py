@@ -165,7 +165,7 @@ def near_duplicates(
     absorb: float = 0.85,
     few: int = 32,
     hot: int = 2000,
-    block_shingles: int = 2_000_000,
+    block_shingles: int = 500_000,
     broadcast_rows: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -196,7 +196,7 @@ def near_duplicates(
     full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     texts = written(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     n_texts = texts.count()
-    n_shards = max(1, n_texts // 8000)
+    n_shards = max(1, n_texts // 4000)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = {r: max(b for q, b in plans if q == r) for r in {r for r, _ in plans}}
@@ -306,7 +306,7 @@ def near_duplicates(
     links_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, ...]] = []
+        out = [np.zeros((0, 5), dtype=np.int64)]
         if left.num_rows and right.num_rows:
             sets = {}
             ids = left.column("doc_id").to_numpy()
@@ -314,13 +314,19 @@ def near_duplicates(
                 keys, cut = shingle_sets(buf, off)
                 for i in range(len(cut) - 1):
                     sets[int(ids[lo + i])] = keys[cut[i] : cut[i + 1]]
-            for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
-                x, y = sets[a], sets[b]
-                s, g = (x, y) if len(x) <= len(y) else (y, x)
-                shared = int((g[np.minimum(np.searchsorted(g, s), len(g) - 1)] == s).sum())
-                if shared >= threshold * len(s):
-                    out.append((a, b, shared, len(x), len(y)))
-        return pa.table([[r[c] for r in out] for c in range(5)], schema=links_schema)
+            a, b = right.column("a").to_numpy(), right.column("b").to_numpy()
+            for lo in range(0, len(a), 10_000):
+                found = []
+                for i, j in zip(a[lo : lo + 10_000].tolist(), b[lo : lo + 10_000].tolist()):
+                    x, y = sets[i], sets[j]
+                    s, g = (x, y) if len(x) <= len(y) else (y, x)
+                    shared = int((g[np.minimum(np.searchsorted(g, s), len(g) - 1)] == s).sum())
+                    if shared >= threshold * len(s):
+                        found.append((i, j, shared, len(x), len(y)))
+                if found:
+                    out.append(np.array(found, dtype=np.int64))
+        rows = np.concatenate(out)
+        return pa.table([rows[:, c] for c in range(5)], schema=links_schema)
 
     links = written(spread.groupBy("comp", "x", "y").cogroup(units.groupBy("of", "low", "high")).applyInArrow(verify, "a long, b long, shared long, na long, nb long"))
 
