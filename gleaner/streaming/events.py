@@ -13,7 +13,7 @@ def read_events(spark: SparkSession, folder: str, schema: StructType | str, max_
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) of tumbling windows; the same plan serves tables and streams."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
