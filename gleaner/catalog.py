@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import html, metrics, nodes
+from .functions import html, metrics, nodes, structures
 from .operators import graph, keyed, records, sampling
 from .plans import actions, cache, explore, fetch
 from .sources import files
@@ -544,3 +544,58 @@ def graph_evict(spark: SparkSession, sf: str) -> DataFrame:
     r, n = t(spark, sf, "region").select(F.col("r_regionkey").alias("id")), t(spark, sf, "nation").select((F.col("n_nationkey") + 100).alias("id"), "n_regionkey")
     g = graph.Graph(r.unionByName(n.select("id")), n.select(F.col("n_regionkey").alias("src"), F.col("id").alias("dst")))
     return g.evict(spark.range(2, 3).select(F.col("id").cast("int").alias("id"))).edges
+
+
+# structures
+
+
+@query("SELECT p_partkey, u AS choice FROM (SELECT p_partkey, unnest(flatten(list_transform(string_split(p_name, ' '), lambda a: list_transform(string_split(p_type, ' '), lambda b: [a, b])))) AS u FROM part)")
+def array_product(spark: SparkSession, sf: str) -> DataFrame:
+    out = structures.array_product(F.split("p_name", " "), F.split("p_type", " "))
+    return View(t(spark, sf, "part")).flat_map(out, "choice", keep=["p_partkey"]).df
+
+
+@query("SELECT n_nationkey, [n_name, r_name, CAST(n_nationkey AS VARCHAR), CAST(r_regionkey AS VARCHAR)] AS mixed FROM nation JOIN region ON n_regionkey = r_regionkey")
+def interleave_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    both = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    left, right = F.array("n_name", F.col("n_nationkey").cast("string")), F.array("r_name", F.col("r_regionkey").cast("string"))
+    return both.select("n_nationkey", structures.interleave(left, right).alias("mixed"))
+
+
+@query("SELECT c_custkey, [CAST(c_nationkey AS BIGINT)] AS numbers FROM customer")
+def keep_typed(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "customer").select("c_custkey", structures.keep_typed(F.array("c_name", F.col("c_nationkey").cast("string")), "bigint").alias("numbers"))
+
+
+@query("SELECT user_id, list(event_type ORDER BY event_id) AS values, min(event_id) AS first FROM events GROUP BY user_id")
+def ordered_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return structures.ordered_groups(t(spark, sf, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    s = t(spark, sf, "supplier")
+    return structures.from_json_text(structures.to_json_text(s), s.schema)
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def xml_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return structures.from_xml_text(structures.to_xml_text(s), s.schema)
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.name'), json_extract_string(props, '$.k'), event_type) AS value FROM events")
+def several_passes(spark: SparkSession, sf: str) -> DataFrame:
+    passes = [nodes.json_path(F.col("props"), "$.name"), nodes.json_path(F.col("props"), "$.k"), F.col("event_type")]
+    return structures.several_passes(t(spark, sf, "events").select("event_id", "props", "event_type"), passes).select("event_id", "value")
+
+
+@query("SELECT o_custkey, count(*) AS n, approx AS distinct_dates FROM orders JOIN (SELECT o_custkey AS k, count(DISTINCT o_orderdate) AS approx FROM orders GROUP BY 1) ON k = o_custkey GROUP BY ALL")
+def count_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderdate").alias("distinct_dates"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return t(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")

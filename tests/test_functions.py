@@ -73,3 +73,25 @@ def test_small_functions(spark):
 def test_parser():
     rule = parser.literal("${") >> parser.until("}", escape="\\").named("key") >> parser.literal("}")
     assert rule.find("x ${a} ${b\\}c}") == [{"key": "a"}, {"key": "b\\}c"}] and rule.parse("x") is None
+
+
+def test_structures(spark, tmp_path):
+    from gleaner.functions import structures as st
+    from gleaner.sources.store import Store
+
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    arr = lambda *x: F.array(*map(F.lit, x))
+    assert get(st.array_product(arr(1, 2), arr("a", "b"))) == [["1", "a"], ["1", "b"], ["2", "a"], ["2", "b"]]
+    with pytest.raises(Exception, match="different sizes"):
+        get(st.interleave(arr(1, 2), arr(3)))
+    assert get(st.canonical_keys(F.create_map(F.lit("a b"), F.lit("1"), F.lit("a_b"), F.lit("2")))) == {"a_b": "2"}
+    assert st.from_xml_text(one.select(F.lit("<row><x>1</x></row>").alias("value")), "x array<int>").first().x == [1]
+    assert st.same_type(spark.range(1).schema, spark.createDataFrame([(1,)], "id long").schema)
+    store, path = Store(spark), str(tmp_path / "f")
+    with store.lock(path):
+        assert store.exists(path + ".lock")
+        with pytest.raises(TimeoutError), store.lock(path, wait=0):
+            pass
+    assert not store.exists(path + ".lock") and store.create_new(path) and not store.create_new(path)
+    assert store.copy(path, path + "2") and store.move(path, path + "3") and store.exists(path + "2") and not store.exists(path) and store.delete(path + "3")
