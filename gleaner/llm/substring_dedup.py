@@ -123,7 +123,7 @@ def first_docs(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def dedup_windows(
-    docs: DataFrame, window: int = 50, cell_bytes: int = 12 << 20, bucket_words: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
+    docs: DataFrame, window: int = 50, cell_bytes: int = 8 << 20, bucket_words: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
 ) -> DataFrame:
     """Per document the words left after removing each one covered by a window that also starts in a smaller document.
 
