@@ -132,14 +132,14 @@ def fit(train: DataFrame, dim: int = DIM, seed: int = 7) -> tuple[list[str], np.
         part = got[got["lang"] == lang]
         code, n = part["code"].to_numpy(), part["n"].to_numpy(dtype=np.float64)
         n = n / n.sum()
-        for lo in range(0, len(code), 8192):
-            protos[i] += n[lo : lo + 8192] @ bind(code[lo : lo + 8192], vectors)
+        for lo in range(0, len(code), 2048):
+            protos[i] += n[lo : lo + 2048] @ bind(code[lo : lo + 2048], vectors)
     if len(langs) > 1:
         protos -= protos.mean(axis=0)
     protos /= np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
     table = np.zeros((CLASSES**3, len(langs)), dtype=np.float32)
-    for lo in range(0, CLASSES**3, 8192):
-        codes = np.arange(lo, min(lo + 8192, CLASSES**3))
+    for lo in range(0, CLASSES**3, 2048):
+        codes = np.arange(lo, min(lo + 2048, CLASSES**3))
         table[codes] = bind(codes, vectors) @ protos.T.astype(np.float32)
     return langs, table / np.sqrt(dim)
 
