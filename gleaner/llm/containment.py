@@ -5,11 +5,10 @@
    larger means a Jaccard similarity of at least t / (ratio + 1 - t), and the banding (rows and bands) for that distance
    is tuned for this threshold on its own.
 3. Band keys go to shards as packed arrays. The texts of a key are compared by sizes and a short sketch: all pairs of at most
-   ``few`` texts; of more, each with the leaders (texts that no smaller id stands for), so that a group of copies gives links
-   to its leaders and not all its pairs. Keys with very many texts are led in blocks, and pairs of blocks of leaders are
-   tasks of their own. No text is left out.
-4. Candidates are checked exactly on their full shingle sets, once for each family of connected candidates; large families are
-   split into pairs of blocks as well.
+   ``few`` texts; of more, each with all texts that nothing joins it to yet, which finds the same families with fewer rows.
+   Keys with very many texts are compared in blocks, and pairs of whole blocks are tasks of their own. No text is left out.
+4. All pairs of a family of connected candidates are counted exactly on their full shingle sets; large families are split into
+   pairs of blocks. A task gives numbers of links, a forest of the symmetric ones and each text's largest container, not pairs.
 5. Links whose intersection is most of either set join classes; a text without such a link that is nearly all contained in larger
    ones joins the class of the largest of them. So texts that merely share a small text do not fall into one class.
 
@@ -115,8 +114,8 @@ class Keys:
         return cls({k: np.concatenate([p.cols[k] for p in parts]) for k, _ in cls.FIELDS}, np.concatenate([p.sketch for p in parts]))
 
 
-def compare(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of entries: which may be links found by this banding, and which are surely alike.
+def compare(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]], t: float) -> np.ndarray:
+    """Which of the pairs of entries may be links found by this banding.
 
     The sketch must agree about as often as the pair's own Jaccard threshold says, less 1.6 standard deviations.
     """
@@ -134,10 +133,9 @@ def compare(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]],
     same = np.zeros(len(at), dtype=np.int16)
     for s in range(0, len(at), 1 << 15):
         same[s : s + (1 << 15)] = (k.sketch[i[s : s + (1 << 15)]] == k.sketch[j[s : s + (1 << 15)]]).sum(axis=1)
-    may, sure = np.zeros(len(ok), dtype=bool), np.zeros(len(ok), dtype=bool)
+    may = np.zeros(len(ok), dtype=bool)
     may[at] = same >= np.maximum(np.floor(least), 1)
-    sure[at] = (same >= SKETCH // 2) & (x <= 1.25 * q)
-    return may, sure & may
+    return may
 
 
 def pair_ids(k: Keys, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -145,17 +143,62 @@ def pair_ids(k: Keys, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-def lead(k: Keys, plans: list[tuple[int, int]], t: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pairs of leaders with others, and the leaders. A text surely like a leader follows it and leads none; nothing is left out."""
-    left, leaders, pairs = np.arange(len(k.cols["id"])), [], []
+def connect(k: Keys, plans: list[tuple[int, int]], t: float) -> list[np.ndarray]:
+    """Candidate pairs that join whatever all candidate pairs join: each text meets all that nothing joins to it yet."""
+    left, pairs = np.arange(len(k.cols["id"])), [np.zeros((0, 2), np.int64)]
     while len(left):
-        first, left = left[0], left[1:]
-        leaders.append(first)
-        if len(left):
-            may, sure = compare(k, np.full(len(left), first), left, plans, t)
-            pairs.append(pair_ids(k, np.full(int(may.sum()), first), left[may]))
-            left = left[~sure]
-    return pairs, np.array(leaders, dtype=np.int64)
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            first = np.full(len(left), queue.pop())
+            may = compare(k, first, left, plans, t)
+            pairs.append(pair_ids(k, first[may], left[may]))
+            queue += left[may].tolist()
+            left = left[~may]
+    return pairs
+
+
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(some of rows, the sizes of the intersections of their sets with those of cols)."""
+    sizes = np.array([len(sets[c]) for c in cols])
+    keys, where = np.unique(np.concatenate([sets[c] for c in cols]), return_inverse=True)
+    owner = np.repeat(np.arange(len(cols)), sizes)
+    posting = owner[np.argsort(where, kind="stable")]
+    df = np.bincount(where, minlength=len(keys))
+    first = np.concatenate([[0], np.cumsum(df)])
+    many = np.flatnonzero(df >= max(16, len(cols) // 10))  # as a product of dense matrices
+    place = np.full(len(keys), -1)
+    place[many] = np.arange(len(many))
+    width, height = max(1, cells // len(cols)), max(1, cells // len(cols))
+    for lo in range(0, len(rows), height):
+        part = rows[lo : lo + height]
+        mine = np.concatenate([sets[r] for r in part])
+        row = np.repeat(np.arange(len(part)), [len(sets[r]) for r in part])
+        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        hit = keys[at] == mine
+        at, row = at[hit], row[hit]
+        out = np.zeros(len(part) * len(cols), dtype=np.int64)
+        thin = place[at] < 0
+        a, r = at[thin], row[thin]
+        ends = np.cumsum(df[a])
+        s = 0
+        while s < len(a):
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + cells, side="right")))
+            cell = np.repeat(r[s:e], df[a[s:e]]) * len(cols) + posting[tx.ranges(first[a[s:e]], df[a[s:e]])]
+            hits, n = np.unique(cell, return_counts=True) if len(cell) * 8 < len(out) else (slice(None), np.bincount(cell, minlength=len(out)))
+            out[hits] += n
+            s = e
+        out = out.reshape(len(part), len(cols))
+        for c in range(0, len(many), width):
+            w = min(width, len(many) - c)
+            left, right = np.zeros((len(part), w), np.float32), np.zeros((len(cols), w), np.float32)
+            p = place[at] - c
+            inside = (p >= 0) & (p < w)
+            left[row[inside], p[inside]] = 1
+            for j in range(w):
+                q = many[c + j]
+                right[posting[first[q] : first[q + 1]], j] = 1
+            out += (left @ right.T).astype(np.int64)
+        yield part, out
 
 
 def near_duplicates(
@@ -173,7 +216,7 @@ def near_duplicates(
     """One row for each row of docs: its class (the id of the class's largest text), its text's links to other texts, its copies.
 
     A link is a containment of at least ``threshold`` of the smaller shingle set; it is symmetric if at least ``same`` of the
-    larger set is shared too. ``n_links`` counts the links found, in large groups those with leaders. ``kept`` marks one row of each class. Ids are taken to be unique; rows that share one share its class.
+    larger set is shared too. ``n_links`` counts them. ``kept`` marks one row of each class. Ids are taken to be unique; rows that share one share its class.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plans = [tune(threshold, d) for d in range(FAR + 1)]
@@ -250,9 +293,8 @@ def near_duplicates(
             blocks = []
             for lo in range(cut[r], cut[r + 1], hot):
                 block = k.take(slice(lo, min(lo + hot, cut[r + 1])))
-                got, leaders = lead(block, plans, threshold)
-                pairs += got
-                blocks.append(block.take(leaders))
+                pairs += connect(block, plans, threshold)
+                blocks.append(block)
             if len(blocks) > 1:
                 packed = [b.pack() for b in blocks]
                 work += [(packed[x], packed[y]) for x in range(len(blocks)) for y in range(x + 1, len(blocks))]
@@ -263,19 +305,14 @@ def near_duplicates(
             at = at[at + step < end[at]]
             if not len(at):
                 return as_rows(pairs, work)
-            may, _ = compare(k, at, at + step, plans, threshold)
+            may = compare(k, at, at + step, plans, threshold)
             pairs.append(pair_ids(k, at[may], at[may] + step))
             step += 1
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
-                one, two = Keys.unpack(left.as_py()), Keys.unpack(right.as_py())
-                k, n = Keys.join([one, two]), len(one.cols["id"])
-                pairs, every = [np.zeros((0, 2), np.int64)], np.arange(n, len(k.cols["id"]))
-                for i in range(n):
-                    may, _ = compare(k, np.full(len(every), i), every, plans, threshold)
-                    pairs.append(pair_ids(k, np.full(int(may.sum()), i), every[may]))
+                pairs = connect(Keys.join([Keys.unpack(left.as_py()), Keys.unpack(right.as_py())]), plans, threshold)
                 p = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
@@ -292,52 +329,72 @@ def near_duplicates(
     members = family.join(texts.select("id", "n", "digest"), "id")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     members = written(members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    one = members.select(F.col("id").alias("a"), "comp", F.col("block").alias("x"))
-    two = members.select(F.col("id").alias("b"), F.col("block").alias("y"))
-    units = pairs.join(one, "a").join(two, "b").select(F.col("comp").alias("of"), F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), "a", "b")
     known = members.select(F.col("id").alias("doc_id"), "comp", "block", "blocks")
     if members.limit(broadcast_rows + 1).count() <= broadcast_rows:
         known = F.broadcast(known)
     spread = (
         base.join(known, "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "text")
+        .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "block", "text")
     )
-    links_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros((0, 5), dtype=np.int64)]
-        if left.num_rows and right.num_rows:
-            sets = {}
-            ids = left.column("doc_id").to_numpy()
-            for lo, _, buf, off in tx.text_chunks(left.column("text")):
-                keys, cut = shingle_sets(buf, off)
-                for i in range(len(cut) - 1):
-                    sets[int(ids[lo + i])] = keys[cut[i] : cut[i + 1]]
-            a, b = right.column("a").to_numpy(), right.column("b").to_numpy()
-            for lo in range(0, len(a), 10_000):
-                found = []
-                for i, j in zip(a[lo : lo + 10_000].tolist(), b[lo : lo + 10_000].tolist()):
-                    x, y = sets[i], sets[j]
-                    s, g = (x, y) if len(x) <= len(y) else (y, x)
-                    shared = int((g[np.minimum(np.searchsorted(g, s), len(g) - 1)] == s).sum())
-                    if shared >= threshold * len(s):
-                        found.append((i, j, shared, len(x), len(y)))
-                if found:
-                    out.append(np.array(found, dtype=np.int64))
-        rows = np.concatenate(out)
-        return pa.table([rows[:, c] for c in range(5)], schema=links_schema)
-
-    links = written(spread.groupBy("comp", "x", "y").cogroup(units.groupBy("of", "low", "high")).applyInArrow(verify, "a long, b long, shared long, na long, nb long"))
-
-    both = links.filter(F.col("shared") >= same * F.greatest("na", "nb")).select("a", "b")
+    links_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("tie", pa.bool_()), ("links", pa.int64())])
+
+    def verify(key: tuple, table: pa.Table) -> pa.Table:
+        ids, sets, block = table.column("doc_id").to_numpy(), [], table.column("block").to_numpy()
+        for _, _, buf, off in tx.text_chunks(table.column("text")):
+            keys, cut = shingle_sets(buf, off)
+            sets += [keys[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        _, only = np.unique(ids, return_index=True)
+        n = np.array([len(s) for s in sets])
+        only = only[n[only] > 0]
+        x, y = key[1].as_py(), key[2].as_py()
+        rows, cols = only[block[only] == x], only[block[only] == y]
+        # the larger text comes later; of equal ones that with the smaller id
+        rank = np.empty(len(ids), dtype=np.int64)
+        order = np.lexsort((-ids, n))
+        rank[order] = np.arange(len(ids))
+        part = partition_of(n).astype(np.int16)
+        degree, into = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1)
+        parent, ties = np.arange(len(ids)), []
+        for some, shared in shared_counts(sets, rows, cols) if len(rows) and len(cols) else ():
+            low, high = np.minimum(n[some][:, None], n[cols]), np.maximum(n[some][:, None], n[cols])
+            ok = (shared >= threshold * low) & (some[:, None] != cols) & (np.abs(part[some][:, None] - part[cols]) <= FAR)
+            degree[some] += ok.sum(axis=1)
+            inside = ok & (shared >= absorb * low)
+            larger = rank[cols] > rank[some][:, None]
+            into[some] = np.maximum(into[some], np.where(inside & larger, rank[cols], -1).max(axis=1))
+            if x != y:
+                degree[cols] += ok.sum(axis=0)
+                into[cols] = np.maximum(into[cols], np.where(inside & ~larger, rank[some][:, None], -1).max(axis=0))
+            both = ok & (shared >= same * high)
+            for i in np.flatnonzero(both.any(axis=1)):
+                ends = np.append(cols[both[i]], some[i])
+                root = parent[ends]
+                while (parent[root] != root).any():
+                    root = parent[root]
+                parent[ends] = root
+                roots, at = np.unique(root, return_index=True)
+                ties += [(ids[some[i]], ids[e]) for r, e in zip(roots, ends[at]) if r != root[-1]]
+                parent[roots] = roots[0]
+        linked, inner = np.flatnonzero(degree), np.flatnonzero(into >= 0)
+        outer = order[into[inner]]
+        tie = np.array(ties, dtype=np.int64).reshape(-1, 2)
+        none = lambda k, t: pa.nulls(k, t)
+        parts = [
+            [pa.array(ids[linked]), none(len(linked), pa.int64()), none(len(linked), pa.int64()), none(len(linked), pa.bool_()), pa.array(degree[linked])],
+            [pa.array(tie[:, 0]), pa.array(tie[:, 1]), none(len(tie), pa.int64()), pa.array(np.ones(len(tie), bool)), none(len(tie), pa.int64())],
+            [pa.array(ids[inner]), pa.array(ids[outer]), pa.array(n[outer]), pa.array(np.zeros(len(inner), bool)), none(len(inner), pa.int64())],
+        ]
+        return pa.table([pa.concat_arrays([p[c] for p in parts]) for c in range(5)], schema=links_schema)
+
+    links = written(spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long"))
+
+    both = links.filter("tie").select("a", "b")
     tied = both.select(F.col("a").alias("id")).unionAll(both.select(F.col("b").alias("id"))).distinct()
-    small = F.when((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))), F.struct(F.col("a").alias("id"), F.col("b").alias("into"), F.col("nb").alias("n")))
-    small = small.otherwise(F.struct(F.col("b").alias("id"), F.col("a").alias("into"), F.col("na").alias("n")))
-    into = links.filter(F.col("shared") >= absorb * F.least("na", "nb")).select(small.alias("s")).select("s.*").join(tied, "id", "left_anti")
+    into = links.filter("NOT tie").select(F.col("a").alias("id"), F.col("b").alias("into"), "n").join(tied, "id", "left_anti")
     into = into.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("into")).alias("neg"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.neg")).alias("b"))
     joined = components(both.unionAll(into))
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
     named = texts.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     head = named.groupBy("comp").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("m")).select("comp", (-F.col("m.neg")).alias("class_id"))
     classes = named.join(head, "comp").join(degree, "id", "left").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies") - 1)

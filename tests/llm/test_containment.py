@@ -54,6 +54,20 @@ def test_links_against_brute_force(spark):
     assert sum(r.class_id != got[r.doc_id].class_id for r in led) <= 0.02 * len(led)
 
 
+def test_all_links_of_a_large_group(spark):
+    say = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*say[:i], f"x{i}", *say[i + 1 :]])) for i in range(60)] + [(100, " ".join(say[:30])), (101, "lone text")]
+    degree = defaultdict(int)
+    for a, b in brute_links(rows):
+        degree[a] += 1
+        degree[b] += 1
+    assert degree[0] >= 59
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"few": 2, "hot": 7, "block_shingles": 600}):
+        got = {r.doc_id: r.n_links for r in ct.near_duplicates(df, **options).collect()}
+        assert [got[i] for i in range(60)] == [degree[i] for i in range(60)] and got[101] == 0
+
+
 def test_edges(spark):
     say = " ".join(f"w{i}" for i in range(100))
     rows = [(1, None), (2, ""), (3, say), (4, say), (5, say.replace("w50", "x")), (6, "two words"), (7, "two words"), (8, say + " " + " ".join(f"v{i}" for i in range(400))), (9, "lone text")]
