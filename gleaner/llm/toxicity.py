@@ -7,8 +7,8 @@ repeats nor a group of copies looks typical of its class. A document's features
 log-likelihoods per word, and the largest such difference in any run of ``SPAN`` words; a logistic curve, fitted on
 labelled documents that the counts have not seen, turns them into a score.
 
-Counts are learned from at most ``max_docs`` labelled documents of each class (those with the smallest hash of the id),
-which bounds the model, and the curve from as many of any class; every document is scored whole.
+Counts are learned from all labelled documents of the training folds, and the curve from at most ``max_docs`` others (those
+with the smallest hash of the id); every document is scored whole. Labels are broadcast if they are at most ``broadcast_rows``.
 
 Defined cases: null and empty texts get the score of zero evidence; if either class has no training document every
 score is 0 (no toxic one) or 1; several labels of one document count as toxic if one is; labels of unknown documents are
@@ -77,7 +77,8 @@ def count_expressions(train: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c) for c in cols], names=["far", "before", "word", "t", "o"])
 
     rows = train.select("text", "toxic").mapInArrow(count, "far long, before long, word long, t long, o long")
-    rows = rows.groupBy("before", "word", "far").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+    # one exchange serves both counts
+    rows = rows.repartition("before", "word").groupBy("before", "word", "far").agg(F.max("t").alias("t"), F.max("o").alias("o"))
     return rows.groupBy("before", "word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
@@ -159,12 +160,6 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3)
     return w
 
 
-def smallest(df: DataFrame, n: int) -> DataFrame:
-    """n rows of each class, by the hash of the id."""
-    parts = [df.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c in (0, 1)]
-    return parts[0].unionAll(parts[1])
-
-
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -172,6 +167,7 @@ def toxicity(
     fit_filter: object,
     max_docs: int = 6000,
     min_count: int = MIN_COUNT,
+    broadcast_rows: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -179,10 +175,12 @@ def toxicity(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     named = named.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & train_filter).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # two bounded lists of ids, so the documents need no shuffle
     fitting = named.filter(fit_filter).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id", "toxic")
-    sample = smallest(named.filter(~fit_filter), max_docs).withColumn("fit", F.lit(False)).unionAll(fitting.withColumn("fit", F.lit(True)))
-    train = base.filter(train_filter).join(F.broadcast(sample), "doc_id")
+    learned = named.filter(~fit_filter).select("doc_id", "toxic", F.lit(False).alias("fit"))
+    sample = written(learned.unionAll(fitting.withColumn("fit", F.lit(True))))
+    if sample.limit(broadcast_rows + 1).count() <= broadcast_rows:  # the documents need no shuffle
+        sample = F.broadcast(sample)
+    train = base.filter(train_filter).join(sample, "doc_id")
     sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         only = float(1 in sizes)

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from gleaner.llm import toxicity as tx
 from gleaner.llm.toxicity import toxicity_held_out
 
 
@@ -33,6 +36,25 @@ def test_held_out_accuracy(spark):
     assert {(r.doc_id, round(r.score, 6)) for r in again} == {(r.doc_id, round(r.score, 6)) for r in out}
 
 
+def test_counts_grow_with_the_labels(spark):
+    # max_docs bounds the curve only: the counts hold every labelled training document
+    docs, labels = corpus(300)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+
+    def spy(train):
+        counts = count(train)
+        seen.append({tuple(r) for r in counts.select("before", "word", "t", "o").collect()})
+        return counts
+
+    count = tx.count_expressions
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tx, "count_expressions", spy)
+        for options in ({}, {"max_docs": 20}, {"max_docs": 20, "broadcast_rows": 0}):
+            assert toxicity_held_out(df, lab, **options).count() == len(docs)
+    assert seen[0] and seen[1] == seen[0] and seen[2] == seen[0]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 2.0), (2, "", 2.0), (None, "a b", 2.0), (3, "a", 2.0), (3, "a", 2.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
