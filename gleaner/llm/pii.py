@@ -235,32 +235,53 @@ def render(kind: str, old: str, value: str, new: str) -> str:
     return new
 
 
-_HINTS: list[np.ndarray] = []
+_HINTS: list[tuple[np.ndarray, list[int], np.ndarray]] = []
 
 
-def _hints() -> np.ndarray:
-    """Hashes of the words that may begin a name."""
+def _hints() -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Hashes of the words that may begin a name (of those with a hyphen, of what follows it), the lengths of those without, and the hashes of these."""
     if not _HINTS:
-        words = [w.encode() for w in {*_GENDER, *_TITLE_GENDER}]
-        buf = np.frombuffer(b"".join(words), dtype=np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        _HINTS.append(np.sort(tx.span_hashes(buf, off[:-1], off[1:])))
+
+        def hashes(words: list[bytes]) -> np.ndarray:
+            off = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+            return np.sort(tx.span_hashes(np.frombuffer(b"".join(words), dtype=np.uint8), off[:-1], off[1:]))
+
+        words = {w.encode() for w in {*_GENDER, *_TITLE_GENDER}}
+        plain = sorted(w for w in words if b"-" not in w)
+        _HINTS.append((hashes(sorted({w.rpartition(b"-")[2] for w in words})), sorted({len(w) for w in plain}), hashes(plain)))
     return _HINTS[0]
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 _BREAK = np.ones(256, dtype=bool)
-_BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = _BREAK[45] = False
+_BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
+_NOT_LATIN = _BREAK.copy()
+_NOT_LATIN[128:] = True
 _DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = _DIGIT[0xD9:0xDC] = _DIGIT[0xE0:] = True  # ASCII digits and the leads of others
+_DIGIT[48:58] = _DIGIT[0xD9:0xDC] = _DIGIT[0xDF:] = True  # ASCII digits and the leads of others
 
 
 def scan(texts: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int, str, str]]]]:
-    """(row, text, entities) of the rows that have entities; most others are ruled out by their bytes."""
+    """(row, text, entities) of the rows that have entities; most others are ruled out by their bytes.
+
+    What rules out must never be narrower than the patterns: a name begins at the end of a run of letters and bytes from 128
+    on, which may hold quotes or dashes before it; structured kinds have a digit, an @ or, as secrets, 16 letters in a row.
+    """
+    whole, lengths, plain = _hints()
     for lo, _, buf, off in tx.text_chunks(texts):
+        starts, ends, word_off = tx.word_spans(buf, off, _NOT_LATIN)
         digit = tx.per_doc((_DIGIT[buf] | (buf == 64)).astype(np.int64), off) > 0
+        digit |= tx.per_doc((ends - starts >= 16).astype(np.int64), word_off) > 0
         starts, ends, word_off = tx.word_spans(buf, off, _BREAK)
-        h, hints = tx.span_hashes(buf, starts, ends), _hints()
-        hit = hints[np.minimum(np.searchsorted(hints, h), len(hints) - 1)] == h
+        hit = _among(tx.span_hashes(buf, starts, ends), whole)
+        high = np.concatenate([[0], np.cumsum(buf >= 128)])
+        mixed = np.flatnonzero(high[ends] > high[starts])
+        for n in lengths:
+            some = mixed[ends[mixed] - starts[mixed] > n]
+            hit[some] |= _among(tx.span_hashes(buf, ends[some] - n, ends[some]), plain)
         name = tx.per_doc(hit.astype(np.int64), word_off) > 0
         for i in np.flatnonzero(digit | name):
             text = texts[int(lo + i)].as_py()
