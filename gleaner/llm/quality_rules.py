@@ -105,9 +105,19 @@ def _lines(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[np.nda
     begin, end = begin[some], end[some]
     doc = np.searchsorted(off, begin, side="right") - 1
     keys = tx.mix(tx.span_hashes(buf, begin, end) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(keys, return_index=True)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
     dup = np.ones(len(keys), dtype=np.int64)
     dup[first] = 0
+    again = np.flatnonzero(dup)
+    twin, size = first[which[again]], end[again] - begin[again]
+    odd = (size != end[twin] - begin[twin]) | (doc[again] != doc[twin])
+    odd |= ~tx.same_bytes(buf, begin[again], buf, begin[twin], np.minimum(size, end[twin] - begin[twin]))
+    for d in np.unique(doc[again[odd]]):  # lines that only share a hash
+        seen: set[bytes] = set()
+        for i in np.flatnonzero(doc == d):
+            line = buf[begin[i] : end[i]].tobytes()
+            dup[i] = line in seen
+            seen.add(line)
     line_off = np.searchsorted(doc, np.arange(n_docs + 1))
     return np.diff(line_off), tx.per_doc(dup, line_off)
 

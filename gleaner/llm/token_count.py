@@ -88,31 +88,12 @@ class UnigramCounter:
         self.unk = min(score for _, score in vocab) - self.UNK_PENALTY
         mark = np.frombuffer(MARK.encode(), dtype=np.uint8)
         self.mark = mark
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)
-        self.best = np.zeros(0)
-        self.n = np.zeros(0, dtype=np.int64)
+        self.memo = tx.Memo(self.MOST, (np.float64, np.int64))
 
     def count(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and best score of each word; a word gets the mark in front."""
-        uniq, first, inverse = np.unique(tx.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.MOST:
-            self._reset()
-        where = np.searchsorted(self.known, uniq)
-        fresh = np.ones(len(uniq), dtype=bool)
-        inside = where < len(self.known)
-        fresh[inside] = self.known[where[inside]] != uniq[inside]
-        if fresh.any():
-            pick = first[fresh]
-            best, n = self._viterbi(buf, starts[pick], ends[pick])
-            spot = where[fresh]
-            self.known = np.insert(self.known, spot, uniq[fresh])
-            self.best = np.insert(self.best, spot, best)
-            self.n = np.insert(self.n, spot, n)
-            where = np.searchsorted(self.known, uniq)
-        return self.n[where][inverse], self.best[where][inverse]
+        best, n = self.memo.values_of(buf, starts, ends, lambda s, e: list(self._viterbi(buf, s, e)))
+        return n, best
 
     def _viterbi(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts

@@ -93,38 +93,25 @@ class WordBpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
+        self.memo = tx.Memo(self.MOST, (np.int64, np.int64))
         self.pool = np.zeros(1 << 16, dtype=np.uint16)
         self.used = 0
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and how many each word has."""
-        if not len(starts):
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        uniq, first, inverse = np.unique(tx.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.MOST:
-            self._reset()
-        where = np.searchsorted(self.known, uniq)
-        fresh = np.ones(len(uniq), dtype=bool)
-        inside = where < len(self.known)
-        fresh[inside] = self.known[where[inside]] != uniq[inside]
-        if fresh.any():
-            pick = first[fresh]
-            ids, counts = self._encode(buf, starts[pick], ends[pick])
+
+        def encode(starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+            ids, counts = self._encode(buf, starts, ends)
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.uint16)])
             self.pool[self.used : self.used + len(ids)] = ids
-            at = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
-            spot = where[fresh]
-            self.known = np.insert(self.known, spot, uniq[fresh])
-            self.at = np.insert(self.at, spot, at)
-            self.n = np.insert(self.n, spot, counts)
-            where = np.searchsorted(self.known, uniq)
-        counts = self.n[where][inverse]
-        return self.pool[tx.ranges(self.at[where][inverse], counts)], counts
+            return [self.used - len(ids) + np.cumsum(counts) - counts, counts]
+
+        if self.used > 8 * self.MOST:
+            self._reset()
+        at, counts = self.memo.values_of(buf, starts, ends, encode)
+        return self.pool[tx.ranges(at, counts)], counts
 
     def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, in their order."""
