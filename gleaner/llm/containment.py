@@ -3,7 +3,8 @@
 1. Equal texts count as one from here on; each text has its set of word shingles and a MinHash signature.
 2. Texts are partitioned by set size (half octaves). For texts d partitions apart, containment t of the smaller in the
    larger means a Jaccard similarity of at least t / (ratio + 1 - t), and the banding (rows and bands) for that distance
-   is tuned for this threshold on its own.
+   is tuned for this threshold on its own. Beyond ``NEAR`` partitions that similarity is too small for any signature, and
+   ``far_links`` looks the shingles of the smaller set up instead.
 3. Band keys go to shards as packed arrays. The texts of a key are compared by sizes and a short sketch: all pairs of at most
    ``few`` texts; of more, each with all texts that nothing joins it to yet, which finds the same families with fewer rows.
    Keys with very many texts are compared in blocks, and pairs of whole blocks are tasks of their own. No text is left out.
@@ -12,10 +13,11 @@
 5. Links whose intersection is most of either set join classes; a text without such a link that is nearly all contained in larger
    ones joins the class of the largest of them. So texts that merely share a small text do not fall into one class.
 
-Links are sought between texts whose set sizes differ by at most ``4`` half octaves (up to about fourfold).
-
 Defined cases: texts without a word (null, empty) are classes of their own without links; texts shorter than a shingle have one
-shingle of all their words; equal rows are copies; an empty table gives an empty result; other columns are ignored.
+shingle of all their words; very long texts are read whole; equal texts are copies, and of rows that repeat both id and text one is
+kept; ids that name several texts give each row the class of its own text; a null id is larger than all others, and a class
+without any id has a null class_id (ids are taken to be below ``2 ** 62``); ties go to the smaller id; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +33,20 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 from .components import components
+from .far_links import far_links
 from .scratch import written
 
 SHINGLE = 5
 HASHES = 96
 SKETCH = 40
-FAR = 3  # partitions apart
-SCHEMA = "doc_id long, class_id long, n_links long, n_copies long, kept boolean"
+NEAR = 3  # partitions apart that bands serve
+NO_ID = 1 << 62  # from here on ids stand for texts without one
 _A = (np.random.default_rng(20).integers(1, 2**62, HASHES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = np.random.default_rng(21).integers(1, 2**62, HASHES).astype(np.uint64)
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct shingle hashes of all documents in a row, and the first of each."""
+def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, and the document of each."""
     starts, ends, word_off = tx.word_spans(buf, off)
     h = tx.span_hashes(buf, starts, ends)
     n = np.diff(word_off)
@@ -55,11 +58,17 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(few):
         whole = [tx.ngram_hashes(h[word_off[i] : word_off[i + 1]], int(n[i]))[0] for i in few]
         doc, keys = np.concatenate([doc, few]), np.concatenate([keys, tx.mix(np.array(whole, dtype=np.uint64))])
+    return keys, doc
+
+
+def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct shingle hashes of all documents in a row, and the first of each."""
+    keys, doc = shingles(buf, off)
     order = np.lexsort((keys, doc))
     doc, keys = doc[order], keys[order]
     keep = np.ones(len(keys), dtype=bool)
     keep[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    return keys[keep], np.searchsorted(doc[keep], np.arange(len(n) + 1))
+    return keys[keep], np.searchsorted(doc[keep], np.arange(len(off)))
 
 
 def signatures(keys: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -123,8 +132,8 @@ def compare(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]],
     ni, nj = c["n"][i].astype(np.float64), c["n"][j].astype(np.float64)
     apart = np.abs(partition_of(ni).astype(np.int16) - partition_of(nj))
     rows, bands = np.array([p[0] for p in plans]), np.array([p[1] for p in plans])
-    inside = np.minimum(apart, FAR)
-    ok = (apart <= FAR) & (rows[inside] == c["rows"][i]) & (c["band"][i] < bands[inside]) & (c["id"][i] != c["id"][j])
+    inside = np.minimum(apart, NEAR)
+    ok = (apart <= NEAR) & (rows[inside] == c["rows"][i]) & (c["band"][i] < bands[inside]) & (c["id"][i] != c["id"][j])
     at = np.flatnonzero(ok)
     i, j, q, x = i[at], j[at], np.minimum(ni[at], nj[at]), np.maximum(ni[at], nj[at])
     jac = t * q / (q + x - t * q)
@@ -210,16 +219,19 @@ def near_duplicates(
     hot: int = 2000,
     block_shingles: int = 2_000_000,
     broadcast_rows: int = 500_000,
+    far: dict[str, int] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row for each row of docs: its class (the id of the class's largest text), its text's links to other texts, its copies.
 
     A link is a containment of at least ``threshold`` of the smaller shingle set; it is symmetric if at least ``same`` of the
-    larger set is shared too. ``n_links`` counts them. ``kept`` marks one row of each class. Ids are taken to be unique; rows that share one share its class.
+    larger set is shared too. ``n_links`` counts them, ``n_copies`` the other rows with the same text. ``kept`` marks exactly one row of
+    each class. ``text_key`` is the hash of the text that tells rows with one id apart.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    plans = [tune(threshold, d) for d in range(FAR + 1)]
+    base = base.withColumn("tid", F.xxhash64("text"))
+    plans = [tune(threshold, d) for d in range(NEAR + 1)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,15 +242,20 @@ def near_duplicates(
                 raw = buf.tobytes()
                 digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() if m else None for a, b, m in zip(off[:-1], off[1:], n)]
                 cells = [s.tobytes() for s in sig]
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(n), pa.array(cells, pa.binary())],
-                    names=["doc_id", "digest", "n", "sig"],
-                )
-
-    signed = written(base.mapInArrow(sign, "doc_id long, digest binary, n long, sig binary"))
-    full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    texts = written(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    n_texts = texts.count()
+                same = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid", "row")]
+                yield pa.record_batch([*same, pa.array(digest, pa.binary()), pa.array(n), pa.array(cells, pa.binary())], names=["doc_id", "tid", "row", "digest", "n", "sig"])
+
+    # row numbers are written with the rest, so a task that is run again cannot change them afterwards
+    numbered = base.withColumn("row", F.monotonically_increasing_id())
+    signed = written(numbered.mapInArrow(sign, "doc_id long, tid long, row long, digest binary, n long, sig binary"))
+    texts = signed.filter("digest IS NOT NULL").groupBy("digest").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row")).alias("head"),
+        F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("tid").alias("tid"),
+    )
+    text_id = F.when(F.col("head.id") < NO_ID, F.col("head.id")).otherwise(F.lit(NO_ID) + F.col("head.row"))
+    texts = written(texts.select("digest", text_id.alias("id"), F.col("head.row").alias("row"), "copies", "n", "sig", "tid"))
+    sums = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n_texts = sums.texts
     n_shards = max(1, n_texts // 4000)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,21 +343,21 @@ def near_duplicates(
 
     # families of candidates, each with as many blocks as its shingles need
     family = components(pairs)
-    members = family.join(texts.select("id", "n", "digest"), "id")
+    members = family.join(texts.select("id", "n", "tid"), "id")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     members = written(members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    known = members.select(F.col("id").alias("doc_id"), "comp", "block", "blocks")
+    known = members.select("id", F.col("tid").alias("text_tid"), "comp", "block", "blocks")
     if members.limit(broadcast_rows + 1).count() <= broadcast_rows:
         known = F.broadcast(known)
     spread = (
-        base.join(known, "doc_id")
+        base.join(known, (F.col("tid") == F.col("text_tid")) & ((F.col("doc_id") == F.col("id")) | (F.col("id") >= NO_ID)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "block", "text")
+        .select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "text")
     )
     links_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("tie", pa.bool_()), ("links", pa.int64())])
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        ids, sets, block = table.column("doc_id").to_numpy(), [], table.column("block").to_numpy()
+        ids, sets, block = table.column("id").to_numpy(), [], table.column("block").to_numpy()
         for _, _, buf, off in tx.text_chunks(table.column("text")):
             keys, cut = shingle_sets(buf, off)
             sets += [keys[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -358,7 +375,7 @@ def near_duplicates(
         parent, ties = np.arange(len(ids)), []
         for some, shared in shared_counts(sets, rows, cols) if len(rows) and len(cols) else ():
             low, high = np.minimum(n[some][:, None], n[cols]), np.maximum(n[some][:, None], n[cols])
-            ok = (shared >= threshold * low) & (some[:, None] != cols) & (np.abs(part[some][:, None] - part[cols]) <= FAR)
+            ok = (shared >= threshold * low) & (some[:, None] != cols) & (np.abs(part[some][:, None] - part[cols]) <= NEAR)
             degree[some] += ok.sum(axis=1)
             inside = ok & (shared >= absorb * low)
             larger = rank[cols] > rank[some][:, None]
@@ -387,7 +404,9 @@ def near_duplicates(
         ]
         return pa.table([pa.concat_arrays([p[c] for p in parts]) for c in range(5)], schema=links_schema)
 
-    links = written(spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long"))
+    links = spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long")
+    distinct_texts = texts.select("tid", "id", "n")
+    links = written(links.unionAll(far_links(base, distinct_texts, shingles, partition_of, NEAR, threshold, absorb, sums.n, **(far or {}))))
 
     both = links.filter("tie").select("a", "b")
     tied = both.select(F.col("a").alias("id")).unionAll(both.select(F.col("b").alias("id"))).distinct()
@@ -397,13 +416,13 @@ def near_duplicates(
     degree = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
     named = texts.join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     head = named.groupBy("comp").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("m")).select("comp", (-F.col("m.neg")).alias("class_id"))
-    classes = named.join(head, "comp").join(degree, "id", "left").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies") - 1)
-    classes = classes.toDF("digest", "class_id", "n_links", "n_copies")
-    out = signed.select("doc_id", "digest").join(classes, "digest", "left")
-    return out.select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"),
-        F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    classes = named.join(head, "comp").join(degree, "id", "left").select(
+        "digest", F.when(F.col("class_id") < NO_ID, F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (F.col("copies") - 1).alias("n_copies"), F.when(F.col("class_id") == F.col("id"), F.col("row")).alias("head_row"),
+    )
+    rest = signed.filter("digest IS NULL").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"), F.lit(True).alias("kept"), F.col("tid").alias("text_key")
     )
+    out = signed.filter("digest IS NOT NULL").select("doc_id", "digest", "row", "tid").join(classes, "digest")
+    kept = F.coalesce(F.col("row") == F.col("head_row"), F.lit(False)).alias("kept")
+    return out.select("doc_id", "class_id", "n_links", "n_copies", kept, F.col("tid").alias("text_key")).unionAll(rest)

@@ -73,7 +73,7 @@ def op9_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
