@@ -34,11 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each class that has the most distinct shingles."""
+    """Keeps the document of each class that has the most distinct shingles, and one row of those that repeat its id and text."""
     scratch.release()
-    judged = near_duplicates(docs).select("doc_id", "kept")
-    drop = judged.filter(~F.col("kept")).select("doc_id")
-    return docs.select(*COLUMNS).join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    judged = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    judged = scratch.written(judged.agg(F.sum(F.col("kept").cast("long")).alias("kept"), F.count("*").alias("n")).filter("kept < n"))
+    here = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64("text") == F.col("_key"))
+    left = docs.join(judged.filter("kept = 0"), here, "left_anti")
+    again = judged.filter("kept > 0")
+    if again.isEmpty():
+        return left
+    rows = left.join(again, here, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+    return left.join(again, here, "left_anti").unionAll(rows.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
