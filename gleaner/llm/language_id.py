@@ -9,11 +9,12 @@ Since bundles are linear, the products of all n-gram vectors with the prototypes
 (``CLASSES ** 3`` rows), and the product of a text's bundle with a prototype is a sum of table entries. The bundle's own
 length is the same for every language; it is taken from the n-gram counts, as n-gram vectors are nearly orthogonal.
 
-Training counts n-grams of all training texts per language, summed inside each task before the shuffle; the result is
-bounded by ``CLASSES ** 3`` rows a language.
+Training counts n-grams of all training texts per language, summed inside each task before the shuffle; a task then bundles
+the at most ``CLASSES ** 3`` counts of a language, and only prototypes come to the driver.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any training row every text is
-``und``; an empty table gives an empty result; repeated rows are judged alike; ties go to the first language by name.
+``und``; very long texts are read whole; an empty table gives an empty result; repeated rows are judged alike; ties go to the
+first language by name; columns named doc_id, lang_pred or score are replaced by ours, other columns are kept if asked for.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from . import textops as tx
 
 CLASSES = 96
 DIM = 1024
+HELD = 16  # languages whose counts a task holds at a time
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -43,7 +45,7 @@ def class_table() -> np.ndarray:
     """Letter class of each code point: 0 is no letter, 1-26 the basic letters, the others by code point, far ones hashed."""
     if not _table:
         out = np.zeros(0x110000, dtype=np.uint8)
-        for cp in range(0x80, 0x30000):
+        for cp in range(0x80, 0x110000):
             ch = chr(cp)
             if ch.isalpha():
                 low = ch.lower()
@@ -104,6 +106,10 @@ def bind(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
 def train_counts(train: DataFrame) -> DataFrame:
     """(lang, code, n) over all training texts."""
 
+    def told(lang: str, got: np.ndarray) -> pa.RecordBatch:
+        code = np.flatnonzero(got)
+        return pa.record_batch([pa.array([lang] * len(code), type=pa.string()), pa.array(code), pa.array(got[code])], names=["lang", "code", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -115,25 +121,31 @@ def train_counts(train: DataFrame) -> DataFrame:
                     mine = (langs[lo:hi] == lang)[owner]
                     got = np.bincount(codes[mine], minlength=CLASSES**3)
                     sums[lang] = sums[lang] + got if lang in sums else got
-        for lang, got in sums.items():
-            code = np.flatnonzero(got)
-            yield pa.record_batch([pa.array([lang] * len(code), type=pa.string()), pa.array(code), pa.array(got[code])], names=["lang", "code", "n"])
+            if len(sums) > HELD:
+                yield from map(told, sums, sums.values())
+                sums = {}
+        yield from map(told, sums, sums.values())
 
     return train.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, dim: int = DIM, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """Languages, and the table of products of n-gram vectors with unit prototypes."""
-    got = train_counts(train).toPandas()
-    langs = sorted(got["lang"].unique())
     vectors = letter_vectors(seed, dim)
-    protos = np.zeros((len(langs), dim), dtype=np.float64)
-    for i, lang in enumerate(langs):
-        part = got[got["lang"] == lang]
-        code, n = part["code"].to_numpy(), part["n"].to_numpy(dtype=np.float64)
-        n = n / n.sum()
+
+    def bundle(key: tuple, table: pa.Table) -> pa.Table:
+        code, n = table.column("code").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+        order = np.argsort(code)
+        code, n = code[order], n[order] / n.sum()
+        total = np.zeros(dim)
         for lo in range(0, len(code), 2048):
-            protos[i] += n[lo : lo + 2048] @ bind(code[lo : lo + 2048], vectors)
+            total += n[lo : lo + 2048] @ bind(code[lo : lo + 2048], vectors)
+        return pa.table([[key[0].as_py()], [total.tobytes()]], names=["lang", "bundle"])
+
+    # one vector a language comes to the driver
+    got = {r.lang: np.frombuffer(bytes(r.bundle)) for r in train_counts(train).groupBy("lang").applyInArrow(bundle, "lang string, bundle binary").collect()}
+    langs = sorted(got)
+    protos = np.array([got[lang] for lang in langs]).reshape(len(langs), dim)
     if len(langs) > 1:
         protos -= protos.mean(axis=0)
     protos /= np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)

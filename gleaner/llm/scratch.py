@@ -6,6 +6,7 @@ They cut lineage in a way that survives the loss of an executor. A table lives u
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, as in tests, a local folder that is then set for the session."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset in local mode, as in tests, a folder that is then set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

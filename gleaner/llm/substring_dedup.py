@@ -15,7 +15,7 @@ a third of all documents is one entry for each cell and not one for each documen
 4. buckets reply with hashes which have a smaller document in another cell;
 5. cells remove the words covered by windows with a smaller document, here or elsewhere.
 
-Full windows are compared by 64 bits and the independent bits that choose the bucket.
+Full windows are compared by 64 bits and by 32 of a second hash of the same words, in which other words clash.
 
 Defined cases: null and empty texts have no words; documents shorter than a window lose nothing; a null id counts as
 larger than all others; rows with the same id are one document and do not remove each other's words, but repeats in
@@ -39,6 +39,7 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 LISTS = "bucket long, cell long, planes binary, docs binary, n long"
 BIG = np.int64(2**63 - 1)
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
+_OTHER = 0x165667B19E3779F9
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -72,10 +73,12 @@ class Cell:
         self.table = table.take(pa.array(order)) if len(order) else table
         self.ids, self.window, self.block = ids[order], window, window // 2
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for _, _, buf, off in tx.text_chunks(self.table.column("text")):
             starts, ends, word_off = tx.word_spans(buf, off)
             hashes.append(tx.span_hashes(buf, starts, ends))
             counts.append(np.diff(word_off))
+            self.spans.append((buf, starts, ends))
         self.words = np.concatenate(hashes)
         self.word_off = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         self.n_words = np.diff(self.word_off)
@@ -86,6 +89,11 @@ class Cell:
         at = np.flatnonzero(tx.window_mask(self.word_off, n, len(self.words))[: len(grams)])
         return at, tx.mix(grams[at])
 
+    def checks(self, start: np.ndarray) -> np.ndarray:
+        """32 bits of another hash of the full windows that start there."""
+        words = np.concatenate([np.zeros(0, np.uint64), *(tx.span_hashes(*span, salt=_OTHER) for span in self.spans)])
+        return tx.mix(tx.ngram_hashes(words, self.window)[start]) >> np.uint64(32)
+
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         """Smallest row with the id of the document that holds each word."""
         return np.searchsorted(self.ids, self.ids)[np.searchsorted(self.word_off, at, side="right") - 1]
@@ -114,12 +122,21 @@ def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[where] == values
 
 
-def first_docs(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes with their smallest document; docs ascend with the rows of a cell, and so does a stable sort."""
+def first_docs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the place of the first of each; documents ascend with the rows of a cell, so it is in the smallest."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    return h[first], docs[order[first]]
+    return h[first], order[first]
+
+
+def both(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """One number for the two hashes of a window, good among the windows of one cell."""
+    return tx.mix(h + check * _SALT)
+
+
+def checks_of(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint32)[-n:].astype(np.uint64) if n else np.zeros(0, np.uint64)
 
 
 def dedup_windows(
@@ -135,7 +152,7 @@ def dedup_windows(
     n_buckets = max(1, -(-size // (6 * bucket_words)))
     cells = base.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(n_cells))).repartition(n_cells, "cell")
 
-    def split(cell: int, keys: np.ndarray, chosen: np.ndarray, docs: np.ndarray | None, schema: pa.Schema) -> pa.Table:
+    def split(cell: int, keys: np.ndarray, chosen: np.ndarray, docs: tuple[np.ndarray, np.ndarray] | None, schema: pa.Schema) -> pa.Table:
         """Rows for each bucket of ascending keys."""
         order = np.argsort(chosen, kind="stable")
         cut = np.searchsorted(chosen[order], np.arange(n_buckets + 1))
@@ -143,7 +160,7 @@ def dedup_windows(
         for b in range(n_buckets):
             pick = order[cut[b] : cut[b + 1]]
             if len(pick):
-                rows.append((b, cell, pack_sorted(keys[pick]), pack_plain(docs[pick]) if docs is not None else b"", len(pick)))
+                rows.append((b, cell, pack_sorted(keys[pick]), pack_plain(docs[0][pick]) + docs[1][pick].astype(np.uint32).tobytes() if docs is not None else b"", len(pick)))
         return pa.table(list(map(list, zip(*rows))) if rows else [[]] * 5, schema=schema)
 
     lists = pa.schema([("bucket", pa.int64()), ("cell", pa.int64()), ("planes", pa.binary()), ("docs", pa.binary()), ("n", pa.int64())])
@@ -159,21 +176,23 @@ def dedup_windows(
         chosen = (top % np.uint64(n_buckets)).astype(np.int64)
         return split(key[0].as_py(), short, chosen, None, lists)
 
-    def gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys = [unpack_sorted(x.as_py()) for x in table.column("planes")]
-        owner = np.repeat(np.arange(len(keys)), list(map(len, keys)))
-        docs = [unpack_plain(x.as_py()) for x in table.column("docs")]
-        return np.concatenate(keys), owner, np.concatenate(docs)
+        return np.concatenate(keys), np.repeat(np.arange(len(keys)), list(map(len, keys)))
 
-    def reply(table: pa.Table, key: int, keys: np.ndarray, owner: np.ndarray) -> pa.Table:
+    def reply(table: pa.Table, key: int, keys: np.ndarray, owner: np.ndarray, check: np.ndarray | None = None) -> pa.Table:
         cells = table.column("cell").to_numpy()
         order = np.lexsort((keys, owner))
         cut = np.searchsorted(owner[order], np.arange(len(cells) + 1))
-        rows = [(key, int(cells[i]), pack_sorted(keys[order[cut[i] : cut[i + 1]]]), b"", int(cut[i + 1] - cut[i])) for i in range(len(cells)) if cut[i + 1] > cut[i]]
+        rows = []
+        for i in range(len(cells)):
+            pick = order[cut[i] : cut[i + 1]]
+            if len(pick):
+                rows.append((key, int(cells[i]), pack_sorted(keys[pick]), check[pick].astype(np.uint32).tobytes() if check is not None else b"", len(pick)))
         return pa.table(list(map(list, zip(*rows))) if rows else [[]] * 5, schema=lists)
 
     def find_hits(key: tuple, table: pa.Table) -> pa.Table:
-        marked, owner, _ = gather(table)
+        marked, owner = gather(table)
         h = marked >> np.uint64(2)
         order = np.argsort(h)
         s, m = h[order], marked[order]
@@ -192,13 +211,14 @@ def dedup_windows(
     def send_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([[]] * 5, schema=lists)
-        at, h = candidates(Cell(left, window), right)
-        cell = at[0]
-        keys, first = first_docs(h, at[1])
-        return split(key[0].as_py(), keys, bucket_of(keys), cell.ids[first], lists)
+        cell = Cell(left, window)
+        row, _, h, check = candidates(cell, right)
+        _, first = first_docs(both(h, check))
+        first = first[np.argsort(h[first])]
+        return split(key[0].as_py(), h[first], bucket_of(h[first]), (cell.ids[row[first]], check[first]), lists)
 
-    def candidates(cell: Cell, right: pa.Table) -> tuple[tuple[Cell, np.ndarray, np.ndarray], np.ndarray]:
-        """((cell, row of the document, start word), hash) of the windows around the hits."""
+    def candidates(cell: Cell, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the document, start word, hash, check) of the windows around the hits."""
         at, h = cell.windows(cell.block)
         top = h >> np.uint64(2)
         chosen = (top % np.uint64(n_buckets)).astype(np.int64)
@@ -215,17 +235,20 @@ def dedup_windows(
         grams = tx.ngram_hashes(cell.words, window)
         ok = (np.cumsum(marks)[:-1] > 0) & tx.window_mask(cell.word_off, window, len(cell.words))
         start = np.flatnonzero(ok[: len(grams)])
-        return (cell, cell.doc_of(start), start), tx.mix(grams[start])
+        return cell.doc_of(start), start, tx.mix(grams[start]), cell.checks(start)
 
     def find_smaller(key: tuple, table: pa.Table) -> pa.Table:
-        h, owner, docs = gather(table)
-        order = np.argsort(h)
-        s, d = h[order], docs[order]
-        cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        h, owner = gather(table)
+        data = [(x.as_py(), n) for x, n in zip(table.column("docs"), table.column("n").to_pylist())]
+        docs = np.concatenate([unpack_plain(x[: 8 * n]) for x, n in data])
+        check = np.concatenate([checks_of(x, n) for x, n in data])
+        order = np.lexsort((check, h))
+        s, d, c = h[order], docs[order], check[order]
+        cut = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])]))
         least = np.repeat(np.minimum.reduceat(d, cut), np.diff(np.append(cut, len(s))))
         back = np.zeros(len(h), dtype=bool)
         back[order] = least < d
-        return reply(table, key[0].as_py(), h[back], owner[back])
+        return reply(table, key[0].as_py(), h[back], owner[back], check[back])
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -235,11 +258,12 @@ def dedup_windows(
         cell = Cell(left, window)
         gone = np.zeros(len(cell.words), dtype=bool)
         if hits.num_rows:
-            (_, row, start), h = candidates(cell, hits)
-            smaller = [unpack_sorted(x.as_py()) for x in right.filter(pa.array(tag == 4)).column("planes")]
-            bad = member(h, np.unique(np.concatenate(smaller)) if smaller else np.zeros(0, np.uint64))
-            keys, first = first_docs(h, row)
-            bad |= row > first[np.searchsorted(keys, h)]
+            row, start, h, check = candidates(cell, hits)
+            full, told = both(h, check), right.filter(pa.array(tag == 4))
+            smaller = [both(unpack_sorted(x.as_py()), checks_of(c.as_py(), n)) for x, c, n in zip(told.column("planes"), told.column("docs"), told.column("n").to_pylist())]
+            bad = member(full, np.unique(np.concatenate(smaller)) if smaller else np.zeros(0, np.uint64))
+            keys, first = first_docs(full)
+            bad |= row > row[first[np.searchsorted(keys, full)]]
             marks = np.zeros(len(cell.words) + 1, dtype=np.int64)
             marks[start[bad]] += 1
             marks[start[bad] + window] -= 1  # starts are distinct, and so are ends

@@ -35,6 +35,7 @@ LOWER[65:91] += 32
 DISCOUNT = 0.75
 MIN_COUNT = 8
 SPAN = 8
+WORD = np.uint64(24)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, score double, predicted int"
 
@@ -44,10 +45,10 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, pair hashes (0 at a document's first word) and document offsets."""
+    """Word hashes of 40 bits, pair hashes (0 at a document's first word) and document offsets."""
     low = LOWER[buf]
     starts, ends, word_off = tx.word_spans(low, off, GAP)
-    h = tx.span_hashes(low, starts, ends)
+    h = tx.span_hashes(low, starts, ends) >> WORD
     pair = np.zeros(len(h), dtype=np.uint64)
     if len(h) > 1:
         pair[1:] = pair_key(h[:-1], h[1:])
@@ -73,13 +74,19 @@ def count_expressions(train: DataFrame) -> DataFrame:
                 t = np.bincount(where, weights=mine, minlength=len(first)) > 0
                 o = np.bincount(where, weights=~mine, minlength=len(first)) > 0
                 rows = at[first]
-                cols = [far[first].view(np.int64), h[rows - 1].view(np.int64), h[rows].view(np.int64), t.astype(np.int64), o.astype(np.int64)]
-                yield pa.record_batch([pa.array(c) for c in cols], names=["far", "before", "word", "t", "o"])
+                before, word = h[rows - 1], h[rows]
+                # three words and two marks in two numbers, as these rows are all that is shuffled
+                one = before << WORD | word >> np.uint64(16)
+                two = (word & np.uint64(0xFFFF)) << np.uint64(48) | far[first] << np.uint64(2) | t.astype(np.uint64) | o.astype(np.uint64) << np.uint64(1)
+                yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["one", "two"])
 
-    rows = train.select("text", "toxic").mapInArrow(count, "far long, before long, word long, t long, o long")
+    rows = train.select("text", "toxic").mapInArrow(count, "one long, two long")
     # one exchange serves both counts
-    rows = rows.repartition("before", "word").groupBy("before", "word", "far").agg(F.max("t").alias("t"), F.max("o").alias("o"))
-    return rows.groupBy("before", "word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    rows = rows.withColumn("tail", F.shiftrightunsigned("two", 48)).repartition("one", "tail")
+    rows = rows.groupBy("one", "tail", F.shiftrightunsigned("two", 2).alias("far")).agg(F.bit_or(F.col("two").bitwiseAND(3)).alias("seen"))
+    counts = rows.groupBy("one", "tail").agg(F.sum(F.col("seen").bitwiseAND(1)).alias("t"), F.sum(F.shiftright("seen", 1)).alias("o"))
+    word = F.shiftleft(F.col("one").bitwiseAND(0xFFFFFF), 16).bitwiseOR(F.col("tail"))
+    return counts.select(F.shiftrightunsigned("one", 24).alias("before"), word.alias("word"), "t", "o")
 
 
 class KneserNey:
