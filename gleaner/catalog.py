@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import urllib.parse
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import runtime
 from .functions import html, metrics, nodes, structures
 from .operators import graph, keyed, records, sampling
 from .plans import actions, cache, explore, fetch
-from .sources import files
+from .sources import files, web
 from .streaming import events as ev
 from .view import View
 
@@ -52,6 +55,11 @@ def flat_map_range(spark: SparkSession, sf: str) -> DataFrame:
     return View(t(spark, sf, "part")).flat_map(F.when(n > 0, F.sequence(F.lit(0), n - 1)), keep=["p_partkey"]).df
 
 
+@query("SELECT p_partkey, CAST(generate_subscripts(string_split(p_name, ' '), 1) - 1 AS INTEGER) AS i, unnest(string_split(p_name, ' ')) AS word FROM part")
+def flat_map_index(spark: SparkSession, sf: str) -> DataFrame:
+    return View(t(spark, sf, "part")).flat_map(F.split("p_name", " "), "word", keep=["p_partkey"], index="i").df
+
+
 _TAGS = "string_split(p_type, ' ')"
 
 
@@ -120,7 +128,7 @@ def html_attr_lang(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT page_id, CAST(len({_LINKS.format(g=1)}) AS INTEGER) AS n FROM pages")
 def html_children_count(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "pages").select("page_id", F.size(html.select_values(F.col("html"), "nav > ul > li", "tag")).alias("n"))
+    return t(spark, sf, "pages").select("page_id", F.size(html.select_values(F.col("html"), "li", "tag", within="nav > ul")).alias("n"))
 
 
 @query(
@@ -135,7 +143,7 @@ def html_breadcrumb(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "pages").select("page_id", html.select_first(F.col("html"), "nav a", "breadcrumb").alias("crumb")).filter("crumb IS NOT NULL")
 
 
-@query()
+@query(f"SELECT page_id, list_transform({_LINKS.format(g=2)}, lambda x: [{_UNESC.format('x')}]) AS rows FROM pages")
 def html_siblings_window(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "pages").select("page_id", html.sibling_texts(F.col("html"), "nav li", -1, 1).alias("rows"))
 
@@ -155,11 +163,18 @@ def json_path(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", nodes.json_path(F.col("props"), "$.k").alias("k"))
 
 
-@query("SELECT page_id, 'text/html' AS mime, 'UTF-8' AS charset FROM pages")
+@query(
+    """SELECT 'p' || page_id AS id, 'text/html' AS mime, 'UTF-8' AS charset FROM pages UNION ALL SELECT 'e' || event_id, 'application/json', 'UTF-8' FROM events
+    UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'text/csv' ELSE 'text/plain' END, CASE WHEN s_suppkey % 3 = 0 THEN 'UTF-16LE' ELSE 'UTF-8' END FROM supplier"""
+)
 def detect_document(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.encode("html", "utf-8")
-    mime = nodes.detect_mime(raw, name=F.col("url"))
-    return t(spark, sf, "pages").select("page_id", mime.alias("mime"), nodes.detect_charset(raw, mime).alias("charset"))
+    pages = t(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("name"), F.encode("html", "utf-8").alias("raw"))
+    events = t(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("x").alias("name"), F.encode("props", "utf-8").alias("raw"))
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode("s_name", "utf-16le"))).otherwise(F.encode("s_name", "utf-8"))
+    names = t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "a.csv").otherwise("a").alias("name"), text.alias("raw"))
+    docs = pages.unionAll(events).unionAll(names)
+    mime = nodes.detect_mime(F.col("raw"), name=F.col("name"))
+    return docs.select("id", mime.alias("mime"), nodes.detect_charset(F.col("raw"), mime).alias("charset"))
 
 
 @query("SELECT page_id, CASE WHEN NOT regexp_matches(html, '(?is)<title\\b[^>]*>\\s*\\S') THEN 'no title' END AS problem FROM pages")
@@ -169,7 +184,16 @@ def accept_has_title(spark: SparkSession, sf: str) -> DataFrame:
 
 # fetch
 
-_TRACE = "'u' || CAST(user_id % 20 AS VARCHAR)"
+# every event asks for one of all the pages
+_PAGE = "user_id % (SELECT count(*) FROM pages)"
+
+
+def _page(spark: SparkSession, sf: str) -> Column:
+    return F.col("user_id") % t(spark, sf, "pages").count()
+
+
+def _uri(spark: SparkSession, sf: str) -> Column:
+    return F.concat(F.lit("page:"), _page(spark, sf).cast("string"))
 
 
 def _pages_by_number(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,14 +201,13 @@ def _pages_by_number(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fetched_events(spark: SparkSession, sf: str, locality: str) -> DataFrame:
-    uri = F.concat(F.lit("page:"), (F.col("user_id") % 20).cast("string"))
     rows = View(t(spark, sf, "events").select("event_id", "user_id"))
-    out = rows.fetch(F.array(actions.get_column(uri)), fetch.table_fetcher(_pages_by_number(spark, sf)), locality=locality).df
+    out = rows.fetch(F.array(actions.get_column(_uri(spark, sf))), fetch.table_fetcher(_pages_by_number(spark, sf)), locality=locality).df
     return out.select("event_id", "uri", "kind", F.length("content").alias("n_chars"), F.col("_index").alias("index"))
 
 
-_FETCH = """SELECT event_id, 'page:' || CAST(user_id % 20 AS VARCHAR) AS uri, 'doc' AS kind, CAST(length(html) AS INTEGER) AS n_chars, CAST(0 AS INTEGER) AS index
-    FROM events JOIN pages ON page_id = user_id % 20"""
+_FETCH = f"""SELECT event_id, 'page:' || CAST({_PAGE} AS VARCHAR) AS uri, 'doc' AS kind, CAST(length(html) AS INTEGER) AS n_chars, CAST(0 AS INTEGER) AS index
+    FROM events JOIN pages ON page_id = {_PAGE}"""
 
 
 @query(_FETCH)
@@ -193,36 +216,60 @@ def fetch_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_FETCH)
+def fetch_cache_aware(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetched_events(spark, sf, "cache_aware")
+
+
+def _fetches(spark: SparkSession, sf: str, locality: str) -> DataFrame:
+    """How often each address is asked for and fetched; the content of a document is the number of its fetch. Rows lie in four known partitions."""
+    rows = View(t(spark, sf, "events").select("event_id", "user_id").repartitionById(4, F.pmod("event_id", F.lit(4)).cast("int")))
+
+    def agent() -> Callable[[list[dict]], list[dict]]:
+        return lambda trace: [{"uri": trace[0]["uri"], "content": uuid.uuid4().hex, "mime": "text/plain", "status": 200}]
+
+    out = rows.fetch(F.array(actions.get_column(_uri(spark, sf))), web.agent_fetcher(agent), locality=locality).df
+    return out.groupBy("uri").agg(F.count("*").alias("n"), F.count_distinct("content").alias("fetches"))
+
+
+_FETCHES = f"SELECT 'page:' || CAST({_PAGE} AS VARCHAR) AS uri, count(*) AS n, {{0}} AS fetches FROM events GROUP BY 1"
+
+
+@query(_FETCHES.format("count(DISTINCT event_id % 4)"))
 def fetch_narrow(spark: SparkSession, sf: str) -> DataFrame:
-    return _fetched_events(spark, sf, "narrow")
+    return _fetches(spark, sf, "narrow")
 
 
-@query(_FETCH)
-def fetch_cache_aware(spark: SparkSession, sf: str) -> DataFrame:
-    return _fetched_events(spark, sf, "cache_aware")
+@query(_FETCHES.format("count(*)"))
+def fetch_passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetches(spark, sf, "passthrough")
+
 
+@query(_FETCHES.format("CAST(1 AS BIGINT)"))
+def fetch_once(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetches(spark, sf, "wide")
 
-@query("SELECT event_type, count(*) AS n, CAST(1 AS BIGINT) AS traces FROM events GROUP BY event_type")
+
+@query(f"SELECT event_type, count(*) AS n, 'page:' || CAST(arg_min({_PAGE}, event_id) AS VARCHAR) AS first, CAST(1 AS BIGINT) AS traces FROM events GROUP BY event_type")
 def fetch_key_by(spark: SparkSession, sf: str) -> DataFrame:
-    uri = F.concat(F.lit("page:"), (F.col("user_id") % 20).cast("string"))
-    rows = fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(uri)), fetch.table_fetcher(_pages_by_number(spark, sf)), key_by=F.col("event_type"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("uri").alias("traces"))
+    options = {"key_by": F.col("event_type"), "order": F.col("event_id")}
+    rows = fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(_uri(spark, sf))), fetch.table_fetcher(_pages_by_number(spark, sf)), **options)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("uri").alias("first"), F.count_distinct("uri").alias("traces"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 20 < 10 THEN 'doc' ELSE 'error' END AS kind FROM events")
+@query(f"SELECT event_id, CASE WHEN {_PAGE} < (SELECT count(*) FROM pages) // 2 THEN 'doc' ELSE 'error' END AS kind FROM events")
 def fetch_from_cache_only(spark: SparkSession, sf: str) -> DataFrame:
-    uri = F.concat(F.lit("page:"), (F.col("user_id") % 20).cast("string"))
-    pages = _pages_by_number(spark, sf).filter("CAST(substring(url, 6) AS INT) < 10")
-    docs = fetch.table_fetcher(pages)(pages.select(actions.trace_key(actions.get_column(F.col("url"))).alias("_trace_key"), actions.get_column(F.col("url")).alias("_trace")))
-    rows = fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(uri)), fetch.table_fetcher(pages), cached=docs, remote=False)
+    pages = _pages_by_number(spark, sf)
+    held = pages.filter(F.substring("url", 6, 20).cast("long") < t(spark, sf, "pages").count() // 2)  # what the cache holds
+    docs = fetch.table_fetcher(held)(held.select(actions.trace_key(actions.get_column(F.col("url"))).alias("_trace_key"), actions.get_column(F.col("url")).alias("_trace")))
+    rows = fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(_uri(spark, sf))), fetch.table_fetcher(pages), cached=docs, remote=False)
     return rows.select("event_id", "kind")
 
 
 @query("SELECT r_name || '>' || n_name AS trace FROM region, nation UNION ALL SELECT n_name FROM nation")
 def fetch_trace_algebra(spark: SparkSession, sf: str) -> DataFrame:
-    r, n = t(spark, sf, "region"), t(spark, sf, "nation")
-    both = records.cartesian(n.select("n_name"), r.select("r_name")).select(F.concat_ws(">", "r_name", "n_name").alias("trace"))
-    return both.unionByName(n.select(F.col("n_name").alias("trace")))
+    left, right = ([actions.get(x[0]) for x in t(spark, sf, table).select(name).collect()] for table, name in (("region", "r_name"), ("nation", "n_name")))
+    traces = actions.either(actions.product(left, right), right)
+    return spark.createDataFrame([(">".join(urllib.parse.unquote(a["uri"]) for a in trace),) for trace in traces], "trace string")
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS index FROM lineitem")
@@ -247,6 +294,19 @@ def rescope_distinct_names(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "pos", F.col("s.name").alias("name"), F.col("s.scope").alias("scope"))
 
 
+@query(
+    """SELECT user_id, arg_min(event_id, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'click') AS first_click, count(*) FILTER (WHERE event_type = 'click') AS clicks,
+    count(*) FILTER (WHERE event_type = 'click' AND value > 50) AS seen FROM events GROUP BY user_id"""
+)
+def trajectory_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    e = t(spark, sf, "events")
+    per = fetch.observations(e, ["user_id"], F.col("event_type"), F.struct("event_id", "value"), F.struct("ts", "event_id"))
+    clicks = fetch.by_name(F.col("trajectory"), "click")
+    scope = F.transform(F.filter("trajectory", lambda o: o["value"]["value"] > 50), lambda o: o["at"])
+    seen = fetch.by_name(fetch.visible(F.col("trajectory"), scope), "click")
+    return per.select("user_id", fetch.head(clicks)["value"]["event_id"].alias("first_click"), F.size(clicks).cast("long").alias("clicks"), F.size(seen).cast("long").alias("seen"))
+
+
 # exploration
 
 
@@ -280,15 +340,14 @@ def explore_tree(spark: SparkSession, sf: str) -> DataFrame:
     return explore.explore(roots, explore.edges_step(links, "node", "src", "dst"), "node", max_depth=4).select("node", "depth")
 
 
-_GRAPH = """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0),
+_GRAPH = """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
     ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     walk AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN ways ON a = node WHERE depth < 4)
     SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node"""
 
 
 def _bipartite(spark: SparkSession, sf: str) -> DataFrame:
-    # the stated graph of the query, not a sample of a larger task
-    e = t(spark, sf, "lineitem").filter("l_orderkey % 40 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    e = t(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
     return e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
@@ -385,8 +444,9 @@ def record_explode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation")
 def record_sort(spark: SparkSession, sf: str) -> DataFrame:
-    n = t(spark, sf, "nation")
-    return n.withColumn("place", F.row_number().over(Window.orderBy("n_regionkey", "n_name")).cast("long"))
+    # columns come in the order of the record, so the region's goes first here
+    n = records.sort_by_marked(t(spark, sf, "nation").select("n_regionkey", "n_name", "n_nationkey"), ["n_regionkey", "n_name"])
+    return structures.numbered(n, "place").select("n_nationkey", "n_name", "n_regionkey", (F.col("place") + 1).alias("place"))
 
 
 # by key
@@ -415,6 +475,28 @@ def cogroup_left_outer(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.cogroup_left(n, s, "nationkey", n=F.count("*"), names=F.sort_array(F.collect_list("s_name")))
 
 
+@query("SELECT c_nationkey AS nationkey, count(*) AS n, max(c_acctbal) AS most FROM customer GROUP BY 1")
+def reduce_together(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed.reduce_together(t(spark, sf, "customer").withColumnRenamed("c_nationkey", "nationkey"), "nationkey", n=F.count("*"), most=F.max("c_acctbal"))
+
+
+@query("SELECT o_orderkey, c_name, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def join_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("c_custkey")).orderBy(F.desc("o_totalprice"), "o_orderkey")
+    out = structures.numbered(keyed.join_in_order(o, t(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey"]), "place")
+    return out.select("o_orderkey", "c_name", "place")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def disperse(spark: SparkSession, sf: str) -> DataFrame:
+    return runtime.disperse(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), 3).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS users FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+def resource_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return runtime.conflicts(t(spark, sf, "lineitem").withColumnRenamed("l_partkey", "part"), "part", "l_suppkey")
+
+
 @query("SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def reduce_latest(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
@@ -438,16 +520,24 @@ def sample_first_n(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_groups(t(spark, sf, "lineitem"), ["l_orderkey"], 2, order).select("l_orderkey", "l_linenumber", "l_partkey", "rank")
 
 
-@query("SELECT o_custkey, CAST(floor(count(*) * 0.5) AS INTEGER) AS n FROM orders GROUP BY o_custkey")
+_SUBSET = "CAST({0} AS INTEGER) AS n, CAST({0} AS INTEGER) AS n_distinct, true AS inside FROM orders GROUP BY o_custkey"
+
+
+def _sampled(per: DataFrame, picked: Column) -> DataFrame:
+    got = per.select("o_custkey", "keys", picked.alias("picked"))
+    return got.select("o_custkey", F.size("picked").alias("n"), F.size(F.array_distinct("picked")).alias("n_distinct"), (F.size(F.array_except("picked", "keys")) == 0).alias("inside"))
+
+
+@query("SELECT o_custkey, " + _SUBSET.format("floor(count(*) * 0.5)"))
 def sample_ratio(spark: SparkSession, sf: str) -> DataFrame:
     per = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
-    return per.select("o_custkey", F.size(sampling.by_ratio(F.col("keys"), 0.5)).alias("n"))
+    return _sampled(per, sampling.by_ratio(F.col("keys"), 0.5))
 
 
-@query("SELECT o_custkey, CAST(least(count(*), 3) AS INTEGER) AS n FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, " + _SUBSET.format("least(count(*), 3)"))
 def sample_size(spark: SparkSession, sf: str) -> DataFrame:
     per = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
-    return per.select("o_custkey", F.size(sampling.to_size(F.col("keys"), 3)).alias("n"))
+    return _sampled(per, sampling.to_size(F.col("keys"), 3))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -455,10 +545,17 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+@query("SELECT o_orderkey, o_orderdate, o_totalprice, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
 def sort_by(spark: SparkSession, sf: str) -> DataFrame:
     o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
-    return View(o).sort_by("o_orderdate", "o_orderkey").df
+    return structures.numbered(View(o).sort_by("o_orderdate", "o_orderkey").df, "place")
+
+
+@query("SELECT p_partkey, w AS word, i AS ord, row_number() OVER (ORDER BY i, p_partkey) - 1 AS place FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w, CAST(generate_subscripts(string_split(p_type, ' '), 1) - 1 AS INTEGER) AS i FROM part)")
+def sort_by_exploration(spark: SparkSession, sf: str) -> DataFrame:
+    rows = View(t(spark, sf, "part").select("p_partkey", "p_type")).fork(F.split("p_type", " "), "word", "ord", "inner")
+    out = structures.numbered(rows.with_columns(depth=F.col("p_partkey")).sort_by_exploration("ord").df, "place")
+    return out.select("p_partkey", "word", F.col("ord")[0].alias("ord"), "place")
 
 
 @query("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT c_name FROM customer")
@@ -509,10 +606,12 @@ def trace_path_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT c_custkey, CAST(h AS BIGINT) AS h FROM (SELECT c_custkey, CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS h FROM
-    (SELECT c_custkey, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)), lambda a, c: (31 * a + c) % 18446744073709551616) AS u FROM customer))"""
+    (SELECT c_custkey, list_reduce(list_prepend(1125899906842597::HUGEINT, flatten(list_transform(string_split(c_name || ' ' || chr(128512) || chr(233), ''), lambda c:
+      CASE WHEN ord(c) > 65535 THEN [(55296 + (ord(c) - 65536) // 1024)::HUGEINT, (56320 + (ord(c) - 65536) % 1024)::HUGEINT] ELSE [ord(c)::HUGEINT] END))),
+      lambda a, c: (31 * a + c) % 18446744073709551616) AS u FROM customer))"""
 )
 def long_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "customer").select("c_custkey", nodes.long_hash(F.col("c_name")).alias("h"))
+    return t(spark, sf, "customer").select("c_custkey", nodes.long_hash(F.concat("c_name", F.lit(" \U0001f600\u00e9"))).alias("h"))
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN false WHEN 'O' THEN true END AS flag FROM orders")
@@ -533,9 +632,15 @@ def attribute_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "customer").select("c_custkey", nodes.lookup(m, "URI", "path").alias("uri"), nodes.lookup(m, "type", default="none").alias("kind"))
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT user_id % 300) AS traces, count(*) FILTER (WHERE user_id % 300 IN (SELECT page_id FROM pages)) AS docs, count(*) FILTER (WHERE user_id % 300 NOT IN (SELECT page_id FROM pages)) AS failures, CAST(0 AS BIGINT) AS nodocs FROM events")
+@query(
+    """SELECT count(*) AS rows, count(DISTINCT user_id) AS traces, count(*) FILTER (WHERE user_id IN (SELECT page_id FROM pages)) AS docs,
+    count(*) FILTER (WHERE user_id NOT IN (SELECT page_id FROM pages)) AS failures, CAST(0 AS BIGINT) AS nodocs,
+    count(DISTINCT user_id) FILTER (WHERE user_id IN (SELECT page_id FROM pages)) AS traces_with_doc,
+    count(DISTINCT user_id) FILTER (WHERE user_id NOT IN (SELECT page_id FROM pages)) AS traces_failed,
+    CAST(count(*) FILTER (WHERE user_id NOT IN (SELECT page_id FROM pages)) * 1.0 / count(*) AS DOUBLE) AS failure_rate FROM events"""
+)
 def metrics_counts(spark: SparkSession, sf: str) -> DataFrame:
-    uri = F.concat(F.lit("page:"), (F.col("user_id") % 300).cast("string"))
+    uri = F.concat(F.lit("page:"), F.col("user_id").cast("string"))
     return metrics.fetch_metrics(fetch.fetch(t(spark, sf, "events"), F.array(actions.get_column(uri)), fetch.table_fetcher(_pages_by_number(spark, sf))))
 
 
@@ -595,7 +700,7 @@ def count_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderdate").alias("distinct_dates"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = t(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")

@@ -26,6 +26,7 @@ class Conf:
     auditing: str = "both"
     error_dump: bool = True
     proxy: str | None = None
+    trust_all: bool = False
     headers: tuple[tuple[str, str], ...] = ()
 
     def preview(self) -> Conf:

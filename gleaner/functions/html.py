@@ -7,6 +7,8 @@ that close what they match and are ignored otherwise. Selectors: tag, ``*``, ``.
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -66,6 +68,20 @@ class Node:
         inner = "".join(c.code() if isinstance(c, Node) else (c if self.tag in ("script", "style") else escape(c, quote=False)) for c in self.children)
         return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
 
+    def formatted_code(self, level: int = 0) -> str:
+        """A line for each element and text, indented by depth."""
+        pad = "  " * level
+        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
+        if self.tag in VOID:
+            return f"{pad}<{self.tag}{attrs}>"
+        inner = []
+        for c in self.children:
+            if isinstance(c, Node):
+                inner.append(c.formatted_code(level + 1))
+            elif c.strip():
+                inner.append("  " * (level + 1) + escape(" ".join(c.split()), quote=False))
+        return "\n".join([f"{pad}<{self.tag}{attrs}>", *inner, f"{pad}</{self.tag}>"])
+
     def attr(self, name: str, no_empty: bool = True) -> str | None:
         value = self.attrs.get(name.lower())
         return None if value is None or (no_empty and not value.replace("\xa0", " ").strip()) else value
@@ -114,6 +130,43 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
+def plain(text: str | None) -> Node:
+    """A document of text alone: it has its text, and no selector finds anything in it."""
+    root = Node("", {}, None)
+    root.children.append(text or "")
+    return root
+
+
+def to_html(content: str | None, mime: str) -> str:
+    """Text formats as pages: delimited text as a table, other text and JSON as it stands; formats of bytes need tools of their own."""
+    text = content or ""
+    if mime in ("text/html", "application/xhtml+xml"):
+        return text
+    if mime in ("text/csv", "text/tab-separated-values"):
+        rows = csv.reader(io.StringIO(text), delimiter="," if mime == "text/csv" else "\t")
+        body = "".join("<tr>" + "".join(f"<td>{escape(c, quote=False)}</td>" for c in r) + "</tr>" for r in rows)
+        return f"<html><body><table>{body}</table></body></html>"
+    if mime.startswith("text/") or mime in ("application/json", "application/xml"):
+        return f"<html><body><pre>{escape(text, quote=False)}</pre></body></html>"
+    raise ValueError(f"no page can be made of {mime}")
+
+
+def find_by(node: Node, how: str) -> list[Node]:
+    """Matches by a prefixed rule: ``id:``, ``name:``, ``class:``, ``tag:``, ``link:``, ``partial_link:``, or a selector (``css:`` or none)."""
+    kind, colon, what = how.partition(":")
+    if not colon or kind not in ("id", "name", "class", "tag", "link", "partial_link", "css"):
+        return find_all(node, how)
+    tests: dict[str, Callable[[Node], bool]] = {
+        "id": lambda n: n.attrs.get("id") == what,
+        "name": lambda n: n.attrs.get("name") == what,
+        "class": lambda n: what in n.attrs.get("class", "").split(),
+        "tag": lambda n: n.tag == what.lower(),
+        "link": lambda n: n.tag == "a" and n.text() == what,
+        "partial_link": lambda n: n.tag == "a" and what in n.text(),
+    }
+    return find_all(node, what) if kind == "css" else [n for n in node.walk() if tests[kind](n)]
+
+
 def parse(html: str | None) -> Node:
     html = html or ""
     if re.match(r"\s*<t[rdh]\b", html, re.I):  # table fragments keep their cells
@@ -229,6 +282,7 @@ VALUES: dict[str, Callable[[Node, str], str | None]] = {
     "text": lambda n, url: n.text(),
     "own_text": lambda n, url: n.own_text(),
     "code": lambda n, url: n.code(),
+    "formatted_code": lambda n, url: n.formatted_code(),
     "tag": lambda n, url: n.tag,
     "breadcrumb": lambda n, url: "/".join(n.breadcrumb()),
     "href": lambda n, url: None if n.attr("href") is None else urljoin(url or "", n.attr("href")),
@@ -241,8 +295,11 @@ def value_of(name: str) -> Callable[[Node, str], str | None]:
     return (lambda n, url: n.attr(name[1:])) if name.startswith("@") else VALUES[name]
 
 
-def select_all(html: Column, css: str, values: list[str], url: Column | None = None, direct: bool = False) -> Column:
-    """ARRAY<STRUCT> of the values of all matches, in document order; a value is a key of VALUES or ``@attribute``."""
+def select_all(html: Column, css: str, values: list[str], url: Column | None = None, within: str | None = None) -> Column:
+    """ARRAY<STRUCT> of the values of all matches, in document order; a value is a key of VALUES or ``@attribute``.
+
+    With ``within`` only direct children of its matches count.
+    """
     compile_css(css)
     names = [v.lstrip("@") for v in values]
     schema = "array<struct<" + ",".join(f"`{n}`:string" for n in names) + ">>"
@@ -250,15 +307,19 @@ def select_all(html: Column, css: str, values: list[str], url: Column | None = N
 
     @F.pandas_udf(schema)
     def run(h: pd.Series, u: pd.Series) -> pd.Series:
-        pick = children if direct else find_all
-        return pd.Series([[{n: f(x, link) for n, f in zip(names, fns)} for x in pick(parse(doc), css)] for doc, link in zip(h, u)])
+        return pd.Series([[{n: f(x, link) for n, f in zip(names, fns)} for x in matches(doc, css, within)] for doc, link in zip(h, u)])
 
     return run(html, url if url is not None else F.lit(""))
 
 
-def select_values(html: Column, css: str, value: str = "text", url: Column | None = None) -> Column:
+def matches(doc: str | None, css: str, within: str | None = None) -> list[Node]:
+    root = parse(doc)
+    return find_all(root, css) if within is None else [x for node in find_all(root, within) for x in children(node, css)]
+
+
+def select_values(html: Column, css: str, value: str = "text", url: Column | None = None, within: str | None = None) -> Column:
     """ARRAY<STRING> without missing values."""
-    return F.array_compact(F.transform(select_all(html, css, [value], url), lambda s: s[value.lstrip("@")]))
+    return F.array_compact(F.transform(select_all(html, css, [value], url, within), lambda s: s[value.lstrip("@")]))
 
 
 def select_first(html: Column, css: str, value: str = "text", url: Column | None = None) -> Column:
@@ -271,14 +332,13 @@ def select_only(html: Column, css: str, value: str = "text", url: Column | None
     return F.when(F.size(got) == 1, F.element_at(got, 1)).otherwise(F.raise_error(F.lit(f"expected one match of {css}")))
 
 
-def sibling_texts(html: Column, css: str, low: int, high: int, direct: bool = False) -> Column:
-    """ARRAY<ARRAY<STRING>>: the texts of each match and its neighbours."""
+def sibling_texts(html: Column, css: str, low: int, high: int, within: str | None = None) -> Column:
+    """ARRAY<ARRAY<STRING>>: the texts of each match and its neighbours; with ``within``, of direct children of its matches."""
     compile_css(css)
 
     @F.pandas_udf("array<array<string>>")
     def run(h: pd.Series) -> pd.Series:
-        pick = children if direct else find_all
-        return pd.Series([[[n.text() for n in row] for row in with_siblings(pick(parse(doc), css), low, high)] for doc in h])
+        return pd.Series([[[n.text() for n in row] for row in with_siblings(matches(doc, css, within), low, high)] for doc in h])
 
     return run(html)
 

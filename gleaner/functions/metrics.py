@@ -17,6 +17,9 @@ def fetch_metrics(fetched: DataFrame) -> DataFrame:
         F.count_if(kind == "doc").alias("docs"),
         F.count_if(kind == "error").alias("failures"),
         F.count_if(kind == "nodoc").alias("nodocs"),
+        F.count_distinct(F.when(kind == "doc", F.col("_trace_key"))).alias("traces_with_doc"),
+        F.count_distinct(F.when(kind == "error", F.col("_trace_key"))).alias("traces_failed"),
+        F.avg((kind == "error").cast("double")).alias("failure_rate"),
     )
 
 

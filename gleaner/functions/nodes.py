@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,17 +120,20 @@ def canonize_column_name(name: Column) -> Column:
 
 
 def long_hash(text: Column) -> Column:
-    """The 31-polynomial over the characters, wrapped to 64 bits."""
+    """The 31-polynomial over the UTF-16 units, from a large prime on, wrapped to 64 bits. NULL for NULL."""
 
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            h = 0
-            for c in t or "":
-                h = (31 * h + ord(c)) & 0xFFFFFFFFFFFFFFFF
-            out.append(h - (1 << 64) if h >> 63 else h)
-        return pd.Series(out)
+        raw = [("" if t is None else t).encode("utf-16-le", "surrogatepass") for t in s]
+        size = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+        units = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.uint64)
+        power = np.ones(int(size.max(initial=0)) + 1, dtype=np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(len(power) - 1, 31, dtype=np.uint64))
+        ends = np.cumsum(size)
+        sums = np.zeros(len(units) + 1, dtype=np.uint64)
+        np.cumsum(units * power[np.repeat(ends, size) - 1 - np.arange(len(units))], out=sums[1:])
+        out = np.uint64(1125899906842597) * power[size] + sums[ends] - sums[ends - size]
+        return pd.Series(out.view(np.int64), dtype="Int64").mask(s.isna().to_numpy())
 
     return run(text)
 
@@ -140,6 +144,21 @@ def try_boolean(text: Column) -> Column:
     return F.when(low.isin("true", "yes", "y", "1", ""), True).when(low.isin("false", "no", "n", "0", "-1"), False)
 
 
+def lifted(applies: Column, value: Column) -> Column:
+    """A partial function: NULL where it does not apply."""
+    return F.when(applies, value)
+
+
+def json_children(doc: Column, name: str) -> Column:
+    """Fields of that name at the top alone."""
+    return json_find_all(doc, name, deep=False)
+
+
+def json_attribute(doc: Column, name: str) -> Column:
+    """The attribute ``@name`` of an object, NULL if it is blank."""
+    return text_or_null(F.try_element_at(json_find_all(doc, "@" + name, deep=False), F.lit(1)))
+
+
 def as_array(value: Column, is_array: bool) -> Column:
     return value if is_array else F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value.cast("string")))
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from ..plans.explore import cut
+
 
 def array_product(*arrays: Column) -> Column:
     """ARRAY<ARRAY<STRING>>: every choice of one element of each array, the first array varying slowest."""
@@ -74,3 +77,15 @@ def same_type(a: DataType, b: DataType) -> bool:
 def several_passes(df: DataFrame, passes: list[Column], name: str = "value") -> DataFrame:
     """The first pass that gives a result, for each row; later passes are evaluated only where earlier ones gave none."""
     return df.withColumn(name, F.coalesce(*passes))
+
+
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of an ordered table with their place (from 0): sizes of the partitions are summed first, so no task sees all rows."""
+    marked = cut(df.withColumn("_id", F.monotonically_increasing_id()))  # the partitions counted are those numbered
+    marked = marked.withColumn("_part", F.shiftrightunsigned("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = sorted((r["_part"], r["n"]) for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    first = dict(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0)))
+    if not first:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    begin = F.create_map(*[F.lit(x) for p, n in first.items() for x in (p, n)])
+    return marked.withColumn(name, (begin[F.col("_part")] + F.col("_in")).cast("long")).drop("_id", "_part", "_in")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+K = TypeVar("K")
+V = TypeVar("V")
+
 
 def union_by_key(left: DataFrame, right: DataFrame, key: str, **reduce: Column) -> DataFrame:
     """Full outer merge: all rows of both, reduced by key with partial aggregation."""
@@ -30,6 +34,25 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def reduce_together(df: DataFrame, key: str, **reduce: Column) -> DataFrame:
+    """Reduced after rows of a key have been brought together, so that later steps by that key need no exchange."""
+    return df.repartition(key).groupBy(key).agg(*[c.alias(n) for n, c in reduce.items()])
+
+
+def reduce_local(rows: Iterable[tuple[K, V]], reduce: Callable[[V, V], V]) -> dict[K, V]:
+    """Rows of one task by key, each key's values folded as they come."""
+    out: dict[K, V] = {}
+    for k, v in rows:
+        out[k] = reduce(out[k], v) if k in out else v
+    return out
+
+
+def join_in_order(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """A join whose rows come in the order of the left table."""
+    out = left.withColumn("_at", F.monotonically_increasing_id()).join(right, on, how)
+    return out.orderBy("_at").drop("_at")
+
+
 def reduce_latest(df: DataFrame, key: str, ts: str, *tie: str) -> DataFrame:
     """The row with the greatest time of each key; ties go to the greatest tie columns."""
     rest = [c for c in df.columns if c != key]

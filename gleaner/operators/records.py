@@ -29,12 +29,16 @@ def merge(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], policy:
 
 
 def cartesian(left: DataFrame, right: DataFrame, policy: str = "right", most_right: int = 1_000_000) -> DataFrame:
-    """All pairs of rows, for a right side of checked size: it is counted first."""
-    if right.limit(most_right + 1).count() > most_right:
-        raise ValueError(f"the right side of a product has more than {most_right} rows")
+    """All pairs of rows. The right side is counted and goes out in blocks of about ``most_right`` rows, one after the other."""
     names = merge_columns(left.columns, right.columns, policy)
-    joined = left.alias("l").join(F.broadcast(right.alias("r")), how="cross")
-    return joined.select(*[F.col(f"{'l' if s == 'left' else 'r'}.`{n}`").alias(n) for n, s in names])
+    blocks = max(1, -(-right.count() // most_right))
+    out = None
+    for i in range(blocks):
+        part = right.filter(F.pmod(F.xxhash64(*right.columns), F.lit(blocks)) == i) if blocks > 1 else right
+        joined = left.alias("l").join(F.broadcast(part.alias("r")), how="cross")
+        joined = joined.select(*[F.col(f"{'l' if s == 'left' else 'r'}.`{n}`").alias(n) for n, s in names])
+        out = joined if out is None else out.unionAll(joined)
+    return out
 
 
 def lift(df: DataFrame) -> DataFrame:

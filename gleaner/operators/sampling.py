@@ -33,6 +33,11 @@ def sample_groups(df: DataFrame, by: list[str], n: int, order: list[Column]) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def shuffled_rows(df: DataFrame, seed: int = 0) -> DataFrame:
+    """All rows in an order given by the seed and the row."""
+    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns)
+
+
 def sample_rows(df: DataFrame, key: list[str], ratio: float, seed: int = 0) -> DataFrame:
     """Each row stays or goes by a hash of its key."""
     return df.filter(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) < int(ratio * 1_000_000))

@@ -47,6 +47,25 @@ def delay(seconds: float) -> Trace:
     return [action("delay", entity=str(seconds))]
 
 
+def random_delay(least: float, most: float) -> Trace:
+    return [action("delay", entity=f"{least}:{most}")]
+
+
+def loop(trace: Trace, limit: int = 16) -> Trace:
+    """The trace again and again until an action fails, at most ``limit`` times."""
+    return [action("loop", entity=json.dumps({"trace": trace, "limit": limit}))]
+
+
+def local_retry(trace: Trace, times: int = 3) -> Trace:
+    """The trace from its start after a failure, at most ``times`` attempts in one session."""
+    return [action("retry", entity=json.dumps({"trace": trace, "times": times}))]
+
+
+def flat(trace: Trace) -> Trace:
+    """Loops and retries replaced by the actions in them, once."""
+    return [b for a in trace for b in (flat(json.loads(a["entity"])["trace"]) if a["op"] in ("loop", "retry") else [a])]
+
+
 def named(trace: Trace, name: str) -> Trace:
     return [*trace[:-1], trace[-1] | {"name": name}] if trace else trace
 
@@ -71,11 +90,12 @@ def either(*options: list[Trace]) -> list[Trace]:
 
 def dry_run(trace: Trace) -> list[Trace]:
     """For each document the trace will yield, the actions it depends on; those without a session depend on themselves alone."""
+    trace = flat(trace)
     return [[a] if a["op"] not in SESSION else [b for b in trace[: i + 1] if b["op"] in SESSION] for i, a in enumerate(trace) if a["op"] in EXPORTS]
 
 
 def state_changes(trace: Trace) -> Trace:
-    return [a for a in trace if a["op"] in STATE_CHANGES]
+    return [a for a in flat(trace) if a["op"] in STATE_CHANGES]
 
 
 def trace_key_of(trace: Trace) -> str:

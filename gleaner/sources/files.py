@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.resources
+import uuid
+
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import DumpFailed, ReadFailed, WriteFailed
 from ..functions.nodes import canonize_file_name, detect_mime
 
 
@@ -49,22 +54,47 @@ def with_saved_path(docs: DataFrame, folder: str, name: Column, ext: str = "html
     return docs.withColumn("saved", F.concat(F.lit(folder.rstrip("/") + "/"), canonize_file_name(name), F.lit("-"), F.substring(F.sha2("content", 256), 1, 12), F.lit(f".{ext}")))
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    """Through the file system of the path's scheme (``hdfs``, ``s3``, ``gs``, ``file`` or none); readers see all of it or nothing."""
+    fs, place = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
+    part = f"{place}.{uuid.uuid4().hex}.part"
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    try:
+        with fs.open_output_stream(part) as out:
+            out.write(data)
+        fs.move(part, place)
+    except OSError as e:
+        raise WriteFailed(f"{path}: {e}") from e
+
+
+def read_bytes(path: str) -> bytes:
+    try:
+        fs, place = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
+        with fs.open_input_stream(place) as f:
+            return f.read()
+    except OSError as e:
+        raise ReadFailed(f"{path}: {e}") from e
+
+
 def save_contents(docs: DataFrame) -> None:
-    """Writes each document's content to its saved path, through the cluster's file systems mounted on the executors."""
+    """Writes each document's content to its saved path, where the executors are. A task that runs again writes the same files."""
 
     def write(rows) -> None:  # noqa: ANN001
-        import os
-
         for r in rows:
-            path = r.saved.removeprefix("file://")
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path + ".tmp", "wb") as f:
-                f.write(r.content if isinstance(r.content, (bytes, bytearray)) else (r.content or "").encode())
-            os.replace(path + ".tmp", path)
+            write_bytes(r.saved, r.content if isinstance(r.content, (bytes, bytearray)) else (r.content or "").encode())
 
     docs.select("saved", "content").foreachPartition(write)
 
 
+def package_file(address: str) -> bytes:
+    """A file that lies in a Python package, ``resource:package/path``."""
+    package, _, path = address.removeprefix("resource:").partition("/")
+    try:
+        return importlib.resources.files(package).joinpath(path).read_bytes()
+    except (OSError, ModuleNotFoundError) as e:
+        raise ReadFailed(f"{address}: {e}") from e
+
+
 def audit(docs: DataFrame, path: str, normalised: Column | None = None, kind: str = "both") -> None:
     """Keeps originals, normalised contents, or both beside each other."""
     if kind == "disabled":
@@ -75,7 +105,16 @@ def audit(docs: DataFrame, path: str, normalised: Column | None = None, kind: st
     docs.select("uri", *cols).write.mode("append").parquet(path)
 
 
-def dump_errors(docs: DataFrame, path: str) -> DataFrame:
-    """Writes error rows to a table of their own and returns the others."""
-    docs.filter("kind = 'error'").write.mode("append").parquet(path)
+def dump_errors(docs: DataFrame, path: str, fallback: str | None = None) -> DataFrame:
+    """Writes error rows to a table of their own (to ``fallback`` if that fails) and returns the others."""
+    _dump(docs.filter("kind = 'error'"), path, fallback)
     return docs.filter("kind <> 'error'")
+
+
+def _dump(rows: DataFrame, path: str, fallback: str | None) -> None:
+    try:
+        rows.write.mode("append").parquet(path)
+    except Exception as e:
+        if fallback is None:
+            raise DumpFailed(f"{path}: {e}") from e
+        _dump(rows, fallback, None)

@@ -2,75 +2,154 @@
 
 from __future__ import annotations
 
+import json
+import mimetypes
+import random
+import ssl
 import time
-import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..conf import Conf
-from ..plans.actions import EXPORTS, retried
+from ..plans.actions import EXPORTS, repair_uri, retried
+from .files import package_file, read_bytes, write_bytes
 
-DOC = "_trace_key string, uri string, kind string, error string, content string, mime string, status int, name string"
+DOC = {"uri": "string", "kind": "string", "error": "string", "content": "string", "mime": "string", "status": "int", "name": "string"}
 Agent = Callable[[list[dict]], list[dict]]
 
 
+def run_trace(trace: list[dict], one: Callable[[dict], dict | None]) -> list[dict]:
+    """What the actions of a trace give, in order. ``loop`` repeats its actions until one fails and keeps what it found; ``retry`` starts its
+    actions again, and what a failed attempt found is dropped."""
+    out: list[dict] = []
+    for a in trace:
+        if a["op"] == "loop":
+            inner = json.loads(a["entity"])
+            try:
+                for _ in range(inner["limit"]):
+                    for b in inner["trace"]:
+                        out += run_trace([b], one)
+            except Exception:  # the loop's own end
+                continue
+        elif a["op"] == "retry":
+            inner = json.loads(a["entity"])
+            out += retried(lambda inner=inner: run_trace(inner["trace"], one), inner["times"])
+        else:
+            got = one(a)
+            if got:
+                out.append(got | {"name": a["name"]})
+    return out
+
+
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    """Follows redirects of posts too (as gets, or as they are where the status says so), and repairs the addresses it is sent to."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):  # noqa: ANN001, ANN201
+        newurl = repair_uri(newurl)
+        if code in (307, 308) and req.data is not None:
+            return urllib.request.Request(newurl, data=req.data, headers=dict(req.headers), method=req.get_method())
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
 def urllib_agent(conf: Conf) -> Agent:
-    """Runs get, post, delay and mock; others need an agent with a session."""
+    """Runs get, post, delay and mock, loops and retries of these; others need an agent with a session.
+
+    Addresses of file systems, ``local:`` paths and ``resource:package/path`` are read as they are; ``trust_all`` in the settings accepts any certificate.
+    """
     handlers = [urllib.request.ProxyHandler({"http": conf.proxy, "https": conf.proxy})] if conf.proxy else []
-    opener = urllib.request.build_opener(*handlers)
+    if conf.trust_all:
+        handlers.append(urllib.request.HTTPSHandler(context=ssl._create_unverified_context()))
+    opener = urllib.request.build_opener(*handlers, _Redirects())
     opener.addheaders = list(conf.headers) or [("User-Agent", "gleaner")]
 
-    def one(a: dict) -> dict:
+    def one(a: dict) -> dict | None:
         if a["op"] == "delay":
-            time.sleep(float(a["entity"]))
-            return {}
+            low, _, high = a["entity"].partition(":")
+            time.sleep(random.uniform(float(low), float(high)) if high else float(low))
+            return None
         if a["op"] == "mock":
             return {"content": a["entity"], "mime": "text/plain", "status": 200, "uri": a["uri"]}
         if a["op"] not in ("get", "post"):
             raise ValueError(f"no session for {a['op']}")
         body = (a["entity"] or "").encode() if a["op"] == "post" else None
+        scheme = a["uri"].partition(":")[0].lower()
+        if scheme not in ("http", "https", "ftp", "ftps"):
+            if body is not None:  # a post to a file system writes the entity
+                write_bytes(a["uri"], body)
+                return None
+            raw = package_file(a["uri"]) if scheme == "resource" else read_bytes(a["uri"].removeprefix("local:"))
+            return {"content": raw.decode("utf-8", "replace"), "mime": mimetypes.guess_type(a["uri"])[0] or "text/plain", "status": None, "uri": a["uri"]}
         with opener.open(urllib.request.Request(a["uri"], data=body), timeout=conf.remote_timeout) as r:
             raw = r.read()
             charset = r.headers.get_content_charset() or "utf-8"
             return {"content": raw.decode(charset, "replace"), "mime": r.headers.get_content_type(), "status": getattr(r, "status", None), "uri": r.geturl()}
 
-    return lambda trace: [one(a) | {"name": a["name"]} for a in trace if a["op"] in EXPORTS or a["op"] == "delay"]
+    return lambda trace: run_trace(trace, one)
 
 
 def agent_fetcher(make_agent: Callable[[], Agent], conf: Conf | None = None, sessions: int = 4) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that runs each trace with an agent of its partition; failures after all attempts become error rows."""
-    conf = conf or Conf()
-
-    def fetch(keys: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            agent = make_agent()
-            close = getattr(agent, "close", None)
-            try:
-                with ThreadPoolExecutor(sessions) as pool:
-                    for pdf in batches:
-                        traces = [[dict(a.asDict() if hasattr(a, "asDict") else a) for a in t] for t in pdf["_trace"]]
+    """A fetcher that runs each trace with an agent of its partition; failures after all attempts become error rows.
 
-                        def go(trace: list[dict]) -> list[dict]:
-                            try:
-                                got = retried(lambda: [d for d in agent(trace) if d.get("content") is not None], conf.remote_retries)
-                                return [{"kind": "doc", "error": None} | d for d in got] or [{"kind": "nodoc"}]
-                            except Exception as e:  # told in the row
-                                return [{"kind": "error", "error": f"{type(e).__name__}: {e}", "uri": trace[-1]["uri"] if trace else None}]
-
-                        rows = [{"_trace_key": k, **d} for k, docs in zip(pdf["_trace_key"], pool.map(go, traces)) for d in docs]
-                        cols = ["_trace_key", "uri", "kind", "error", "content", "mime", "status", "name"]
-                        yield pd.DataFrame(rows, columns=cols).astype({"status": "Int32"})
-            finally:
-                if close:
-                    close()
-
-        return keys.select("_trace_key", "_trace").mapInPandas(run, DOC)
-
-    return fetch
+    An attempt that takes longer than the remote timeout and ``hard_timeout_extra`` counts as failed; the session that hangs is left behind.
+    """
+    conf = conf or Conf()
+    limit = conf.remote_timeout + conf.hard_timeout_extra
+
+    def fetcher(share: bool) -> Callable[[DataFrame], DataFrame]:
+        def fetch(keys: DataFrame) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                agent = make_agent()
+                close = getattr(agent, "close", None)
+                last: tuple[str | None, list[dict]] = (None, [])
+                pool = ThreadPoolExecutor(sessions)
+
+                def attempt(trace: list[dict]) -> list[dict]:
+                    # a thread of its own, as nothing can stop one that hangs
+                    inner = ThreadPoolExecutor(1)
+                    try:
+                        return inner.submit(lambda: [d for d in agent(trace) if d.get("content") is not None]).result(limit)
+                    finally:
+                        inner.shutdown(wait=False)
+
+                def go(trace: list[dict]) -> list[dict]:
+                    try:
+                        return [{"kind": "doc", "error": None} | d for d in retried(lambda: attempt(trace), conf.remote_retries)] or [{"kind": "nodoc"}]
+                    except Exception as e:  # told in the row
+                        return [{"kind": "error", "error": f"{type(e).__name__}: {e}", "uri": trace[-1]["uri"] if trace else None}]
+
+                try:
+                    for batch in batches:
+                        names = batch.column("_trace_key").to_pylist()
+                        traces = batch.column("_trace").to_pylist()
+                        heads = [i for i, k in enumerate(names) if not share or k != (names[i - 1] if i else last[0])]
+                        found = dict(zip(heads, pool.map(go, [traces[i] for i in heads])))
+                        rows, docs = [], []
+                        for i, k in enumerate(names):
+                            if i in found:
+                                last = (k, found[i])
+                            rows += [i] * len(last[1])
+                            docs += last[1]
+                        carried = batch.take(pa.array(rows, pa.int64()))
+                        new = [pa.array([d.get(c) for d in docs], pa.int32() if t == "int" else pa.string()) for c, t in DOC.items()]
+                        yield pa.RecordBatch.from_arrays([*carried.columns, *new], names=[*batch.schema.names, *DOC])
+                finally:
+                    pool.shutdown(wait=False)
+                    if close:
+                        close()
+
+            added = [StructField(c, IntegerType() if t == "int" else StringType()) for c, t in DOC.items()]
+            return keys.mapInArrow(run, StructType([*keys.schema.fields, *added]))
+
+        return fetch
+
+    plain = fetcher(False)
+    plain.sharing = fetcher(True)
+    return plain
 
 
 class MockBrowser:
@@ -80,14 +159,15 @@ class MockBrowser:
         self.pages = pages
 
     def __call__(self, trace: list[dict]) -> list[dict]:
-        at, typed, out = None, {}, []
-        for a in trace:
+        at: list[str | None] = [None]
+
+        def one(a: dict) -> dict | None:
             if a["op"] in ("visit", "click", "click_next", "get"):
                 if a["uri"] not in self.pages:
                     raise KeyError(a["uri"])
-                at = a["uri"]
-            elif a["op"] in ("text_input", "select_option"):
-                typed[a["name"]] = a["entity"]
+                at[0] = a["uri"]
             if a["op"] in EXPORTS:
-                out.append({"uri": at, "content": self.pages.get(at), "mime": "text/html", "status": 200, "name": a["name"]})
-        return out
+                return {"uri": at[0], "content": self.pages.get(at[0]), "mime": "text/html", "status": 200}
+            return None
+
+        return run_trace(trace, one)

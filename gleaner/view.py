@@ -38,9 +38,12 @@ class View:
     def filter(self, cond: Column | str) -> View:
         return self._with(self.df.filter(cond))
 
-    def flat_map(self, array: Column, name: str = "value", keep: list[str] | None = None) -> View:
-        """One row for each element; rows with none are dropped."""
-        return self._with(self.df.select(*(keep if keep is not None else self.df.columns), F.explode(array).alias(name)))
+    def flat_map(self, array: Column, name: str = "value", keep: list[str] | None = None, index: str | None = None) -> View:
+        """One row for each element, with its index among them if asked for; rows with none are dropped."""
+        kept = keep if keep is not None else self.df.columns
+        if index is None:
+            return self._with(self.df.select(*kept, F.explode(array).alias(name)))
+        return self._with(self.df.select(*kept, F.posexplode(array).alias(index, name)))
 
     def fork(self, array: Column, name: str = "value", ordinal: str | None = None, how: str = "outer") -> View:
         """One row for each element with its place; ``inner`` drops rows with none, ``outer`` keeps them with nulls. Places are arrays of one int."""
@@ -84,6 +87,15 @@ class View:
             return self._with(self.df.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols, ascending=ascending))
         return self._with(self.df.orderBy(*cols, ascending=ascending))
 
+    def sorted(self, ascending: bool = True, partitions: int | None = None) -> View:
+        """In the order of the rows themselves: by all columns that have an order, from the left."""
+        kinds = ("map", "variant")
+        return self.sort_by(*[c for c, t in self.df.dtypes if not t.startswith(kinds)], ascending=ascending, partitions=partitions)
+
+    def sort_by_exploration(self, *ordinals: str) -> View:
+        """Crawled rows as a reader would meet them: by the places of their forks, then by depth."""
+        return self.sort_by(*ordinals, "depth")
+
     def union(self, *others: View) -> View:
         df = self.df
         for o in others:
@@ -109,11 +121,19 @@ class View:
         return self.df.is_cached
 
     def checkpoint(self) -> View:
-        return self._with(ex._cut(self.df))
+        out = self._with(ex.cut(self.df))
+        out.checkpointed = True
+        return out
+
+    checkpointed = False
 
     # documents
     def fetch(self, traces: Column, fetcher: fe.Fetcher, **options: object) -> View:
+        """``cache_path`` names the versioned cache of documents, used as the settings say."""
         options.setdefault("locality", self.conf.locality)
+        path = options.pop("cache_path", None)
+        if path is not None:
+            return self._with(fe.fetch_through(self.df, traces, fetcher, path, self.conf, **options))
         options.setdefault("remote", self.conf.remote)
         return self._with(fe.fetch(self.df, traces, fetcher, **options))
 

@@ -51,10 +51,13 @@ def test_json_nodes(spark):
 def test_small_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
-    h = 0
-    for c in "hello world":
-        h = (31 * h + ord(c)) % 2**64
-    assert get(nodes.long_hash(F.lit("hello world"))) == (h - 2**64 if h >= 2**63 else h)
+    for text in ("", "hello world", "\U0001f600 \u00e9" * 40):
+        h = 1125899906842597
+        raw = text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (31 * h + raw[i] + 256 * raw[i + 1]) % 2**64
+        assert get(nodes.long_hash(F.lit(text))) == (h - 2**64 if h >= 2**63 else h)
+    assert get(nodes.long_hash(F.lit(None).cast("string"))) is None
     assert get(nodes.fill_template(F.lit("a ${x} $$ ${y}"), F.create_map(F.lit("x"), F.lit("1")))) == "a 1 $ ${y}"
     assert [get(nodes.try_boolean(F.lit(x))) for x in ("", "TRUE", "-1", "maybe")] == [True, True, False, None]
     assert get(nodes.canonize_urn(F.lit("http://a.b/c?d=e"))) == "http/a.b/c/d/e"
