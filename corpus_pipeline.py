@@ -3,7 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of
 documents. A stage's own scratch tables are deleted when the next stage starts, as by then its result is written.
 
-The stages handle the cases their operators define: null and empty texts have no language and go with the first stage.
+The stages handle the cases their operators define: null and empty texts have no language and go with the first stage; very long
+texts are read whole by all stages; of rows that repeat id and text one stays, and rows of one id with other texts are judged by
+their own texts; ties of classes go to the smaller id, a null id being larger than all others; an empty table gives empty
+results; columns beside those of documents are dropped at the start of a stage, whatever their names.
 """
 
 from __future__ import annotations
