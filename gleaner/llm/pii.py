@@ -38,15 +38,16 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .scratch import written
 
-_PATTERN = re.compile(
-    r"(?P<mail>[\w.+%-]*[\w+%-]@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![0-9A-Za-z]))"
+_MAIL = r"(?P<mail>(?<![\w.+%-])[\w.+%-]*[\w+%-]@[\w-]+(?:\.[\w-]+)+)|"
+_OTHERS = (
+    r"(?P<secret>(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<card>(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d))"
     r"|(?P<ssn>(?<!\d)\d{3}-\d\d-\d{4}(?!\d))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w.])\+\d{8,14}(?!\d))"
 )
+_PATTERN = {True: re.compile(_MAIL + _OTHERS), False: re.compile(_OTHERS)}  # is there an @ at all?
 _TITLES = {
     "m": "Mr Mister Sir Herr Monsieur Señor Don господин г-н κύριος".split(),
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Señorita Doña госпожа г-жа κυρία".split(),
@@ -265,7 +266,7 @@ def find(text: str, structured: bool = True, names: bool = True) -> list[tuple[i
     """(start, end, kind, normal form), ascending and without overlap."""
     spans = []
     if structured:
-        for m in _PATTERN.finditer(text):
+        for m in _PATTERN["@" in text].finditer(text):
             kind, end = m.lastgroup, m.end()
             value = normal_form(kind, m.group())
             if value and (kind != "mail" or value.rpartition(".")[2].isalpha()):
@@ -381,7 +382,7 @@ def scan(texts: pa.Array, structured: bool = True) -> Iterator[tuple[int, str, l
     """(row, text, entities) of the rows that have entities; most others are ruled out by their bytes. Without ``structured``, names alone.
 
     What rules out must never be narrower than the patterns: a name begins at the end of a run of letters and bytes from 128
-    on, which may hold quotes or dashes before it; structured kinds have a digit, an @ or, as secrets, 16 letters in a row.
+    on, which may hold quotes or dashes before it; structured kinds have a digit, an @ or a run of letters that may be a secret.
     """
     whole, lengths, plain, before, after_lengths, after = _hints()
     for lo, _, buf, off in tx.text_chunks(texts):
@@ -389,7 +390,14 @@ def scan(texts: pa.Array, structured: bool = True) -> Iterator[tuple[int, str, l
         if structured:
             starts, ends, word_off = tx.word_spans(buf, off, _NOT_LATIN)
             digit = tx.per_doc((_DIGIT[buf] | (buf == 64)).astype(np.int64), off) > 0
-            digit |= tx.per_doc((ends - starts >= 16).astype(np.int64), word_off) > 0
+            # of letters alone there are secrets of 32, or of 16 and more behind a prefix
+            long = np.flatnonzero(ends - starts >= 16)
+            at = starts[long]
+            joined = (buf[np.maximum(at - 1, 0)] == 45) | (buf[np.maximum(at - 1, 0)] == 95)
+            head = (buf[at] == 65) & ((buf[at + 1] == 75) | (buf[at + 1] == 83)) & (buf[at + 2] == 73) & (buf[at + 3] == 65)
+            secret = np.zeros(len(starts), dtype=np.int64)
+            secret[long] = joined | head | (ends[long] - at >= 32)
+            digit |= tx.per_doc(secret, word_off) > 0
         starts, ends, word_off = tx.word_spans(buf, off, _BREAK)
         h = tx.span_hashes(buf, starts, ends)
         hit = _among(h, whole) | _among(h, after)
