@@ -4,7 +4,8 @@ A window of ``window`` words always holds one whole block of ``window // 2`` wor
 length in the other document. So the non-overlapping blocks of every document are the index, every rolling
 window of that length is a probe, and what both sides of a hit can extend to is all that has to be compared.
 
-Documents live in cells: a cell is a bounded share of the text, chosen by a hash of the id. Text moves once, to its cell;
+Documents live in cells: a cell is a bounded share of the text, chosen by a hash of id and text, so that neither one id nor rows without one
+fill a cell. Text moves once, to its cell;
 three uses of that one exchange share it. All the rest that moves are sorted, delta-coded hash lists between cells and
 hash buckets. A hash counts once for each cell that has it, however often it occurs there, so that a passage found in
 a third of all documents is one entry for each cell and not one for each document.
@@ -150,7 +151,7 @@ def dedup_windows(
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n_cells = max(1, -(-size // cell_bytes))
     n_buckets = max(1, -(-size // (6 * bucket_words)))
-    cells = base.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(n_cells))).repartition(n_cells, "cell")
+    cells = base.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_cells))).repartition(n_cells, "cell")
 
     def split(cell: int, keys: np.ndarray, chosen: np.ndarray, docs: tuple[np.ndarray, np.ndarray] | None, schema: pa.Schema) -> pa.Table:
         """Rows for each bucket of ascending keys."""
