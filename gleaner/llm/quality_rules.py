@@ -5,8 +5,9 @@ rules form a cascade: on a bounded sample their cost (seconds per document) and
 measured, and they run in the order of rejection per cost, each only on the documents that all earlier rules passed.
 The verdict is a conjunction, so the measured order changes the cost and never the result.
 
-Defined cases: null text counts as empty (zero counts, ``base_failed`` true, ``kept`` false); an empty table gives an
-empty result; repeated rows are judged one by one; other columns are ignored.
+Defined cases: null text counts as empty (zero counts, ``base_failed`` true, ``kept`` false); very long texts are read whole; rules
+of equal worth run in the order of their names' declaration; an empty table gives an empty result; repeated rows are judged one by
+one; other columns are ignored.
 """
 
 from __future__ import annotations

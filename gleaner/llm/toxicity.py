@@ -10,7 +10,7 @@ labelled documents that the counts have not seen, turns them into a score.
 Counts are learned from all labelled documents of the training folds, and the curve from at most ``max_docs`` others (those
 with the smallest hash of the id); every document is scored whole. Labels are broadcast if they are at most ``broadcast_rows``.
 
-Defined cases: null and empty texts get the score of zero evidence; if either class has no training document every
+Defined cases: null and empty texts get the score of zero evidence; very long texts are read whole; a score of 0.5 counts as toxic; if either class has no training document every
 score is 0 (no toxic one) or 1; several labels of one document count as toxic if one is; labels of unknown documents are
 ignored; an empty table gives an empty result; repeated rows are scored alike; other columns are ignored.
 """

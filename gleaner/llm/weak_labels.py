@@ -5,8 +5,9 @@ Overlapping heuristic labellers vote good, bad or nothing on each document. The
 accuracy and the share of good documents, starting from majorities. The posteriors of at most ``fit_docs`` documents (the
 smallest by a hash of the id) train a logistic scorer on hashed words and word shapes, which judges every document.
 
-Defined cases: null and empty texts have score 0 and are not kept; documents without any vote count by the share of good
-ones; an empty table gives an empty result; repeated rows are judged alike; other columns are ignored.
+Defined cases: null and empty texts have score 0 and are not kept; very long texts are read whole, and their score is a mean that
+no length dominates; documents without any vote count by the share of good ones; a score equal to ``cut`` is kept; an empty
+table gives an empty result; repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations

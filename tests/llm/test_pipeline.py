@@ -58,7 +58,21 @@ def test_run_and_edges(spark, tmp_path):
         for _, stage in cp.STAGES:
             out = stage(spark, docs, str(folder))
             docs = spark.createDataFrame(out.collect(), out.schema)
-        assert {p.doc_id for p in docs.collect()} == ({4, None} if frame is df else set())
+        pieces = docs.collect()
+        assert {p.doc_id for p in pieces} == ({4, None} if frame is df else set())
+        assert sum(p.start == 0 for p in pieces) == (2 if frame is df else 0)  # one row of those that repeat id and text
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark, tmp_path):
+    say, other = " ".join(f"w{i}" for i in range(90)), " ".join(f"v{i}" for i in range(90))
+    rows = [(1, say), (1, say), (2, say), (None, say), (None, other), (None, other), (5, say.replace("w40", "x")), (6, "a b"), (6, "c d"), (7, say + " " + other + " end")]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", len(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    df.write.parquet(str(tmp_path / "t"))
+    out = cp.near_dedup(spark, spark.read.parquet(str(tmp_path / "t")), SF)
+    assert out.columns == cp.COLUMNS
+    assert sorted((r.doc_id, r.text[:3]) for r in out.collect()) == [(6, "a b"), (6, "c d"), (7, "w0 ")]
+    few = cp.near_dedup(spark, spark.read.parquet(str(tmp_path / "t")).filter("doc_id IS NULL OR doc_id < 7"), SF).collect()
+    assert sorted((str(r.doc_id), r.text[:2]) for r in few) == [("1", "w0"), ("6", "a "), ("6", "c "), ("None", "v0")]
 
 
 def test_registered():

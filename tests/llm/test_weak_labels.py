@@ -3,6 +3,8 @@ import numpy as np
 from gleaner.llm import registry
 from gleaner.llm import weak_labels as wl
 
+from .brute import quality, words
+
 
 def test_estimation_recovers_accuracies():
     rng = np.random.default_rng(4)
@@ -37,3 +39,39 @@ def test_edges(spark):
     assert all(r.score == 0 and not r.kept for r in out if r.doc_id in (1, 2, 3))
     assert len({(r.score, r.votes) for r in out if r.doc_id == 5}) == 1
     assert wl.weak_label_quality(df.limit(0)).count() == 0
+
+
+def brute_votes(text):
+    """Votes of all labellers in their order, a text at a time: 0 nothing, 1 bad, 2 good."""
+    raw, w = (text or "").encode(), words(text)
+    n, chars, symbols, dup, rep = quality(text)
+    n_lines = sum(bool(words(line)) for line in (text or "").split("\n"))
+    per = lambda k: k / max(n, 1)
+    share = lambda ok: sum(map(ok, raw)) / max(len(raw), 1)
+    letter = lambda b: 65 <= b < 91 or 97 <= b < 123 or b >= 128
+    ends = [x.encode()[-1:] for x in w]
+    tail = b"#*$%&|<>{}\\~^@=_!?"
+    sums = [
+        (per(symbols), lambda x: x > 0.15, lambda x: x < 0.02),
+        (share(lambda b: 65 <= b < 91), lambda x: x > 0.3, lambda x: x < 0.1),
+        (per(rep), lambda x: x > 0.4, lambda x: x < 0.15),
+        (per(chars), lambda x: x < 2.5 or x > 11, lambda x: 3 < x < 9),
+        (per(sum(e in (b".", b"!", b"?") for e in ends)), lambda x: x < 0.015 or x > 0.5, lambda x: 0.03 < x < 0.3),
+        (dup / max(n_lines, 1), lambda x: x > 0.3, lambda x: x == 0 and n_lines > 1),
+        (share(letter), lambda x: x < 0.65, lambda x: x > 0.75),
+        (per(sum(not any(map(letter, x.encode())) for x in w)), lambda x: x > 0.1, lambda x: x < 0.05),
+        (per(sum(e in tail for e in ends)), lambda x: x > 0.25, lambda x: x < 0.08),
+        (per(sum(a == b for a, b in zip(w, w[1:]))), lambda x: x > 0.1, lambda x: x < 0.02),
+        (n, lambda x: x < 20, lambda x: x > 60),
+    ]
+    return [1 if bad(x) else 2 if good(x) else 0 for x, bad, good in sums]
+
+
+def test_votes_and_posteriors_against_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in registry.QUERIES["op3_weak_labels"](spark, sf_dir).collect()}
+    votes = np.array([brute_votes(t) for _, t in docs])
+    prior, table = wl.estimate(votes, np.ones(len(votes)))  # every document on its own, not patterns with their numbers
+    post = wl.posterior(votes, prior, table)
+    for (i, _), v, p in zip(docs, votes, post):
+        assert got[i].votes == int("".join(map(str, v)), 3) and abs(got[i].posterior - p) < 1e-6
