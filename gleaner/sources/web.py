@@ -10,13 +10,17 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import urlencode, urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..conf import Conf
+from ..errors import ActionFailed
+from ..functions import html
 from ..plans.actions import EXPORTS, repair_uri, retried
+from ..runtime import Session
 from .files import package_file, read_bytes, write_bytes
 
 DOC = {"uri": "string", "kind": "string", "error": "string", "content": "string", "mime": "string", "status": "int", "name": "string"}
@@ -152,22 +156,78 @@ def agent_fetcher(make_agent: Callable[[], Agent], conf: Conf | None = None, ses
     return plain
 
 
-class MockBrowser:
-    """An agent with a session over a table of pages in memory: visit, click a link's address, snapshot, and no-ops for input."""
+class PageBrowser:
+    """An agent with a session over a table of pages in memory: links, frames and forms work, scripts do not run.
+
+    Selectors are those of ``html.find_by``, in an action's entity. What a page lacks is an error, at once: nothing here takes time to appear.
+    """
 
     def __init__(self, pages: dict[str, str]) -> None:
         self.pages = pages
 
     def __call__(self, trace: list[dict]) -> list[dict]:
+        session = Session()
         at: list[str | None] = [None]
+        frame: list[html.Node | None] = [None]
+        seen: set[str] = set()
+        typed: dict[str, str] = {}
+
+        def go(uri: str) -> None:
+            if uri not in self.pages:
+                raise ActionFailed(f"no page {uri}", session.backtrace)
+            at[0], frame[0] = uri, None
+            seen.add(uri)
+            typed.clear()
+
+        def page() -> html.Node:
+            if at[0] is None:
+                raise ActionFailed("no page is open", session.backtrace)
+            return frame[0] or html.parse(self.pages[at[0]])
+
+        def found(a: dict) -> html.Node:
+            got = html.find_by(page(), a["entity"])
+            if not got:
+                raise ActionFailed(f"nothing matches {a['entity']}", session.backtrace)
+            return got[0]
+
+        def link(node: html.Node, name: str = "href") -> str:
+            to = node.attr(name)
+            if to is None:
+                raise ActionFailed(f"<{node.tag}> leads nowhere", session.backtrace)
+            return urljoin(at[0] or "", to)
 
         def one(a: dict) -> dict | None:
-            if a["op"] in ("visit", "click", "click_next", "get"):
-                if a["uri"] not in self.pages:
-                    raise KeyError(a["uri"])
-                at[0] = a["uri"]
-            if a["op"] in EXPORTS:
-                return {"uri": at[0], "content": self.pages.get(at[0]), "mime": "text/html", "status": 200}
+            session.did(a)
+            op = a["op"]
+            if op in ("visit", "get") or (op in ("click", "click_next") and a["uri"]):
+                go(a["uri"])
+            elif op == "click":
+                go(link(found(a)))
+            elif op == "click_next":  # the first link that leads to a page not seen yet
+                ahead = [u for u in (link(n) for n in html.find_by(page(), a["entity"]) if n.attr("href")) if u not in seen]
+                if not ahead:
+                    raise ActionFailed("no next page", session.backtrace)
+                go(ahead[0])
+            elif op in ("wait_for", "assert"):
+                found(a)
+            elif op in ("text_input", "select_option"):
+                where, _, value = a["entity"].rpartition("=")
+                field = found(a | {"entity": where})
+                if op == "select_option" and value not in [o.attr("value", False) or o.text() for o in html.find_all(field, "option")]:
+                    raise ActionFailed(f"no option {value}", session.backtrace)
+                typed[field.attr("name") or where] = value
+            elif op == "submit":
+                form = found(a)
+                go(link(form, "action") + ("?" + urlencode(sorted(typed.items())) if typed else ""))
+            elif op == "to_frame":
+                frame[0] = html.parse(self.pages[link(found(a), "src")])
+            if op == "screenshot":
+                return {"uri": at[0], "content": page().text(), "mime": "image/x-text", "status": 200}
+            if op in EXPORTS:
+                return {"uri": at[0], "content": self.pages[at[0]] if frame[0] is None else frame[0].code(), "mime": "text/html", "status": 200}
             return None
 
         return run_trace(trace, one)
+
+
+MockBrowser = PageBrowser

@@ -12,6 +12,7 @@ from .conf import Conf
 from .operators import records, sampling
 from .plans import explore as ex
 from .plans import fetch as fe
+from .sources import files
 
 
 class View:
@@ -137,6 +138,15 @@ class View:
         options.setdefault("remote", self.conf.remote)
         return self._with(fe.fetch(self.df, traces, fetcher, **options))
 
+    def audited(self, path: str, normalised: Column | None = None) -> View:
+        """Keeps the documents at ``path`` as the ``auditing`` setting says."""
+        files.audit(self.df, path, normalised, self.conf.auditing)
+        return self
+
+    def without_errors(self, path: str, fallback: str | None = None) -> View:
+        """Documents that are no errors; the ``error_dump`` setting says if those are kept at ``path``."""
+        return self._with(files.dump_errors(self.df, path, fallback) if self.conf.error_dump else self.df.filter("kind <> 'error'"))
+
     def explore(self, step: Callable[[DataFrame], DataFrame], key: str, **options: object) -> View:
         options.setdefault("min_depth", self.conf.min_depth)
         options.setdefault("max_depth", self.conf.max_depth)

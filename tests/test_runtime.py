@@ -166,8 +166,74 @@ def test_files_of_all_kinds(spark, tmp_path):
         assert set(spark.read.parquet(str(tmp_path / kind)).columns) - {"uri"} == cols
     files.audit(docs, str(tmp_path / "off"), kind="disabled")
     assert not (tmp_path / "off").exists()
+    w = View(docs, Conf(auditing="original"))
+    assert w.audited(str(tmp_path / "w")).without_errors(str(tmp_path / "we")).df.count() == 1 and set(spark.read.parquet(str(tmp_path / "w")).columns) == {"uri", "original"}
+    assert View(docs, Conf(error_dump=False)).without_errors(str(tmp_path / "no")).df.count() == 1 and not (tmp_path / "no").exists()
     v = View(spark.range(3))
     assert not v.checkpointed and v.checkpoint().checkpointed and not v.is_cached and v.persist().is_cached and not v.unpersist().is_cached
     assert v.repartition(3).df.rdd.getNumPartitions() == 3 and v.coalesce(1).df.rdd.getNumPartitions() == 1
     v.execute()
     v.foreach_partition(lambda rows: None)
+
+
+def test_a_session_over_pages():
+    site = {
+        "http://h/": "<title>home</title> <a href=/p1>one</a> <a href=/p2>two</a> <iframe src=/f></iframe><form action=/s><input name=q><select name=o><option value=1>x</select></form>",
+        "http://h/p1": "<p>first</p> <a class=n href=/>back</a> <a class=n href=/p2>next</a>",
+        "http://h/p2": "<p>second</p> <a class=n href=/p1>back</a>",
+        "http://h/f": "<b>inside</b>",
+        "http://h/s?o=1&q=hi": "<p>found</p>",
+    }
+    run, do = web.PageBrowser(site), ac.action
+    visit, snap = do("visit", "http://h/"), do("snapshot", name="s")
+    text = lambda *actions: [html.parse(d["content"]).text() for d in run([visit, *actions])]
+    assert text(do("wait_for", entity="link:one"), do("click", entity="link:one"), snap) == ["first back next"]
+    assert text(do("click", entity="link:one"), *ac.loop([snap, do("click_next", entity="a.n")])) == ["first back next", "second back"]
+    form = [do("text_input", entity="name:q=hi"), do("select_option", entity="name:o=1"), do("submit", entity="form"), snap]
+    assert text(*form) == ["found"] and text(do("to_frame", entity="iframe"), snap) == ["inside"]
+    assert text(do("script", entity="scroll()"), do("drag", entity="x"), do("assert", entity="title"), do("screenshot")) == ["home one two x"]
+    for bad in ([do("assert", entity="h1")], [do("click", entity="b")], [do("visit", "none")], [do("select_option", entity="name:o=7")], [do("click", entity="form")]):
+        with pytest.raises(errors.ActionFailed, match="after: visit http://h/"):
+            run([visit, *bad])
+    with pytest.raises(errors.ActionFailed):
+        run([snap])
+
+
+def test_http(spark):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def _answer(self, body):
+            if self.path.startswith("/away"):
+                self.send_response(307 if self.path == "/away-as-is" else 302)
+                self.send_header("Location", "/a b")
+                self.end_headers()
+                return
+            self.send_response(404 if self.path == "/none" else 200)
+            self.send_header("Content-Type", "text/plain; charset=latin-1")
+            self.end_headers()
+            self.wfile.write(f"{self.command} {self.path} {self.headers['X-Test']} \u00e9 ".encode("latin-1") + body)
+
+        def do_GET(self):
+            self._answer(b"")
+
+        def do_POST(self):
+            self._answer(self.rfile.read(int(self.headers["Content-Length"])))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    agent = web.urllib_agent(Conf(headers=(("X-Test", "yes"),)))
+    try:
+        got = agent(ac.get(f"{base}/x y"))[0]
+        assert got["content"] == "GET /x%20y yes \u00e9 " and got["mime"] == "text/plain" and got["status"] == 200
+        assert agent(ac.post(f"{base}/p", "body"))[0]["content"].startswith("POST /p yes") and agent(ac.post(f"{base}/p", "body"))[0]["content"].endswith("body")
+        assert agent(ac.get(f"{base}/away"))[0]["content"].startswith("GET /a%20b") and agent(ac.post(f"{base}/away-as-is", "z"))[0]["content"].startswith("POST /a%20b")
+        rows = spark.createDataFrame([(1, f"{base}/1"), (2, f"{base}/none")], "id int, u string")
+        docs = {r.id: r for r in fetch.fetch(rows, F.array(ac.get_column(F.col("u"))), web.agent_fetcher(lambda: web.urllib_agent(Conf()))).collect()}
+        assert docs[1].kind == "doc" and docs[1].content.startswith("GET /1") and docs[2].kind == "error" and "404" in docs[2].error
+    finally:
+        server.shutdown()
