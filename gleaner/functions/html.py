@@ -66,6 +66,8 @@ class Node:
         if self.tag in VOID:
             return f"<{self.tag}{attrs}>"
         inner = "".join(c.code() if isinstance(c, Node) else (c if self.tag in ("script", "style") else escape(c, quote=False)) for c in self.children)
+        if not self.tag:  # the document itself
+            return inner
         return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
 
     def formatted_code(self, level: int = 0) -> str:

@@ -168,7 +168,7 @@ class PageBrowser:
     def __call__(self, trace: list[dict]) -> list[dict]:
         session = Session()
         at: list[str | None] = [None]
-        frame: list[html.Node | None] = [None]
+        frame: list[str | None] = [None]
         seen: set[str] = set()
         typed: dict[str, str] = {}
 
@@ -182,7 +182,7 @@ class PageBrowser:
         def page() -> html.Node:
             if at[0] is None:
                 raise ActionFailed("no page is open", session.backtrace)
-            return frame[0] or html.parse(self.pages[at[0]])
+            return html.parse(self.pages[at[0]] if frame[0] is None else frame[0])
 
         def found(a: dict) -> html.Node:
             got = html.find_by(page(), a["entity"])
@@ -220,11 +220,11 @@ class PageBrowser:
                 form = found(a)
                 go(link(form, "action") + ("?" + urlencode(sorted(typed.items())) if typed else ""))
             elif op == "to_frame":
-                frame[0] = html.parse(self.pages[link(found(a), "src")])
+                frame[0] = self.pages[link(found(a), "src")]
             if op == "screenshot":
                 return {"uri": at[0], "content": page().text(), "mime": "image/x-text", "status": 200}
             if op in EXPORTS:
-                return {"uri": at[0], "content": self.pages[at[0]] if frame[0] is None else frame[0].code(), "mime": "text/html", "status": 200}
+                return {"uri": at[0], "content": self.pages[at[0]] if frame[0] is None else frame[0], "mime": "text/html", "status": 200}
             return None
 
         return run_trace(trace, one)
