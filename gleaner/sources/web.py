@@ -224,6 +224,7 @@ class PageBrowser:
             if op == "screenshot":
                 return {"uri": at[0], "content": page().text(), "mime": "image/x-text", "status": 200}
             if op in EXPORTS:
+                page()
                 return {"uri": at[0], "content": self.pages[at[0]] if frame[0] is None else frame[0], "mime": "text/html", "status": 200}
             return None
 
