@@ -166,13 +166,13 @@ def connect(k: Keys, plans: list[tuple[int, int]], t: float) -> list[np.ndarray]
     return pairs
 
 
-def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(some of rows, the sizes of the intersections of their sets with those of cols)."""
     sizes = np.array([len(sets[c]) for c in cols])
     keys, where = np.unique(np.concatenate([sets[c] for c in cols]), return_inverse=True)
-    owner = np.repeat(np.arange(len(cols)), sizes)
-    posting = owner[np.argsort(where, kind="stable")]
     df = np.bincount(where, minlength=len(keys))
+    posting = np.repeat(np.arange(len(cols), dtype=np.int32), sizes)[np.argsort(where, kind="stable")]
+    del where
     first = np.concatenate([[0], np.cumsum(df)])
     many = np.flatnonzero(df >= max(16, len(cols) // 10))  # as a product of dense matrices
     place = np.full(len(keys), -1)
@@ -244,6 +244,7 @@ def near_duplicates(
                 cells = [s.tobytes() for s in sig]
                 same = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tid", "row")]
                 yield pa.record_batch([*same, pa.array(digest, pa.binary()), pa.array(n), pa.array(cells, pa.binary())], names=["doc_id", "tid", "row", "digest", "n", "sig"])
+        tx.give_back()
 
     # row numbers are written with the rest, so a task that is run again cannot change them afterwards
     numbered = base.withColumn("row", F.monotonically_increasing_id())
@@ -284,20 +285,15 @@ def near_duplicates(
                 packed = [whole.take(order[cut[x] : cut[x + 1]]).pack() for x in some[s : s + 64]]
                 yield pa.record_batch([pa.array(some[s : s + 64], pa.int64()), pa.array(packed, pa.binary())], names=["shard", "keys"])
 
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("no", pa.int64()), ("block", pa.binary())])
 
-    def as_rows(pairs: list[np.ndarray], work: list[tuple[bytes, bytes]]) -> pa.Table:
+    def as_rows(pairs: list[np.ndarray], blocks: list[tuple[int, int, bytes]]) -> pa.Table:
         p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
-        empty = [None] * len(work)
-        return pa.table(
-            [
-                pa.concat_arrays([pa.array(p[:, 0]), pa.array(empty, pa.int64())]),
-                pa.concat_arrays([pa.array(p[:, 1]), pa.array(empty, pa.int64())]),
-                pa.array([None] * len(p) + [x for x, _ in work], pa.binary()),
-                pa.array([None] * len(p) + [y for _, y in work], pa.binary()),
-            ],
-            schema=found,
-        )
+        keys, nos, packed = zip(*blocks) if blocks else ((), (), ())
+        none = lambda k, t: pa.nulls(k, t)
+        first = [pa.array(p[:, 0]), pa.array(p[:, 1]), none(len(p), pa.int64()), none(len(p), pa.int64()), none(len(p), pa.binary())]
+        last = [none(len(keys), pa.int64()), none(len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(nos, pa.int64()), pa.array(packed, pa.binary())]
+        return pa.table([pa.concat_arrays([x, y]) for x, y in zip(first, last)], schema=found)
 
     def meet(table: pa.Table) -> pa.Table:
         k = Keys.join([Keys.unpack(x.as_py()) for x in table.column("keys")])
@@ -313,8 +309,7 @@ def near_duplicates(
                 pairs += connect(block, plans, threshold)
                 blocks.append(block)
             if len(blocks) > 1:
-                packed = [b.pack() for b in blocks]
-                work += [(packed[x], packed[y]) for x in range(len(blocks)) for y in range(x + 1, len(blocks))]
+                work += [(int(key[cut[r]].view(np.int64)), i, b.pack()) for i, b in enumerate(blocks)]
         end = np.repeat(cut[1:], size)
         end[np.repeat(size > few, size)] = 0
         at, step = np.arange(len(key)), 1
@@ -333,12 +328,13 @@ def near_duplicates(
                 p = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    met = written(texts.select("id", "n", "sig").mapInArrow(band, "shard long, keys binary").groupBy("shard").applyInArrow(meet, "a long, b long, left binary, right binary"))
-    hot_work = met.filter("left IS NOT NULL").select("left", "right")
-    pairs = met.filter("left IS NULL").select("a", "b")
-    n_work = hot_work.count()
-    if n_work:
-        pairs = pairs.unionAll(hot_work.repartition(min(n_work, 4096)).mapInArrow(meet_blocks, "a long, b long"))
+    met = written(texts.select("id", "n", "sig").mapInArrow(band, "shard long, keys binary").groupBy("shard").applyInArrow(meet, "a long, b long, key long, no long, block binary"))
+    blocks = met.filter("block IS NOT NULL").select("key", "no", "block")
+    pairs = met.filter("block IS NULL").select("a", "b")
+    if not blocks.isEmpty():
+        # each block is written once; pairs of blocks exist only on their way from the join to the comparison
+        left, right = blocks.select("key", F.col("no").alias("i"), F.col("block").alias("left")), blocks.select("key", F.col("no").alias("j"), F.col("block").alias("right"))
+        pairs = pairs.unionAll(left.join(right, "key").filter("i < j").select("left", "right").mapInArrow(meet_blocks, "a long, b long"))
     pairs = written(pairs.distinct())
 
     # families of candidates, each with as many blocks as its shingles need
@@ -393,6 +389,8 @@ def near_duplicates(
                 roots, at = np.unique(root, return_index=True)
                 ties += [(ids[some[i]], ids[e]) for r, e in zip(roots, ends[at]) if r != root[-1]]
                 parent[roots] = roots[0]
+        del sets
+        tx.give_back()
         linked, inner = np.flatnonzero(degree), np.flatnonzero(into >= 0)
         outer = order[into[inner]]
         tie = np.array(ties, dtype=np.int64).reshape(-1, 2)
@@ -404,9 +402,9 @@ def near_duplicates(
         ]
         return pa.table([pa.concat_arrays([p[c] for p in parts]) for c in range(5)], schema=links_schema)
 
-    links = spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long")
+    links = written(spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long"))
     distinct_texts = texts.select("tid", "id", "n")
-    links = written(links.unionAll(far_links(base, distinct_texts, shingles, partition_of, NEAR, threshold, absorb, sums.n, **(far or {}))))
+    links = links.unionAll(written(far_links(base, distinct_texts, shingles, partition_of, NEAR, threshold, absorb, sums.n, **(far or {}))))
 
     both = links.filter("tie").select("a", "b")
     tied = both.select(F.col("a").alias("id")).unionAll(both.select(F.col("b").alias("id"))).distinct()

@@ -111,7 +111,10 @@ class Group:
         self.size += int(new.sum())
 
     def send(self, n_shards: int) -> Iterator[pa.RecordBatch]:
-        code = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.uint64)
+        code = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint64)
+        self.codes.clear()
+        code.sort()
+        code = code[heads(code)]
         if not len(code):
             return
         h, doc = code >> _B48, (code & np.uint64(0xFFFF)).astype(np.int64)
@@ -155,9 +158,9 @@ def far_links(
     threshold: float,
     absorb: float,
     n_shingles: int,
-    shard_entries: int = 3_000_000,
-    group_entries: int = 2_000_000,
-    shard_texts: int = 20_000,
+    shard_entries: int = 1_000_000,
+    group_entries: int = 1_000_000,
+    shard_texts: int = 8_000,
     hot_texts: int = 64,
 ) -> DataFrame:
     """(a, b, n, tie, links): the links of texts more than ``near`` partitions apart, each as a row for either end.
@@ -189,6 +192,7 @@ def far_links(
                     part = off[a - lo : b - lo + 1]
                     group.add(tids[a:b], *shingles(buf[part[0] : part[-1]], part - part[0]))
         yield from group.send(n_shards)
+        tx.give_back()
 
     def hot_lists(table: pa.Table) -> pa.Table:
         out = []
@@ -214,6 +218,7 @@ def far_links(
             ns.append(n.astype(np.int64)[which])
             hot.append(np.stack(unpack(data, at, (6, 4, 4, 4))[0]).astype(np.int64))
         h, tid, n = np.concatenate(hs), np.concatenate(ts), np.concatenate(ns)
+        del hs, ts, ns
         heat = np.concatenate(hot, axis=1)
         heat = heat[:, np.argsort(heat[0], kind="stable")]
         cut = heads(heat[0])
@@ -231,6 +236,7 @@ def far_links(
             several |= hot_h[np.minimum(np.searchsorted(hot_h, s), len(hot_h) - 1)] == s
         order = order[several]
         h, tid, n = h[order], tid[order], n[order]
+        del s, same, several
         order = np.lexsort((tid, n, h))
         h, tid, n = h[order], tid[order], n[order]
         if len(h):
@@ -263,6 +269,8 @@ def far_links(
         ends = np.arange(len(relevant) + 1)
         far_hot = np.diff(first)[relevant] + more[relevant]
         out.append(rows(_HOT, every[relevant], lists(far_hot, ends, pa.int64()), lists(most[relevant].astype(np.int32), ends, pa.int32())))
+        del h, tid, n, order
+        tx.give_back()
         return pa.concat_tables(out)
 
     sent = base.select("tid", "text").mapInArrow(send, "shard long, sub long, pack binary")

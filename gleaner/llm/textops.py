@@ -9,6 +9,7 @@ only, so they agree on every executor. Where equality is promised, words and lin
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -218,6 +219,14 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker lives on beside the JVM for stages that need it there."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def window_mask(word_off: np.ndarray, n: int, total: int) -> np.ndarray:
     """For each of the ``total`` words: does a window of n words that starts there end in its own document?"""
     end = np.repeat(word_off[1:], np.diff(word_off))
