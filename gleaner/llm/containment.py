@@ -3,13 +3,14 @@
 1. Equal texts count as one from here on; each text has its set of word shingles and a MinHash signature.
 2. Texts are partitioned by set size (half octaves). For texts d partitions apart, containment t of the smaller in the
    larger means a Jaccard similarity of at least t / (ratio + 1 - t), and the banding (rows and bands) for that distance
-   is tuned for this threshold on its own. Beyond ``NEAR`` partitions that similarity is too small for any signature, and
-   ``far_links`` looks the shingles of the smaller set up instead.
+   is tuned for this threshold on its own, up to ``NEAR`` partitions apart.
 3. Band keys go to shards as packed arrays. The texts of a key are compared by sizes and a short sketch: all pairs of at most
    ``few`` texts; of more, each with all texts that nothing joins it to yet, which finds the same families with fewer rows.
-   Keys with very many texts are compared in blocks, and pairs of whole blocks are tasks of their own. No text is left out.
-4. All pairs of a family of connected candidates are counted exactly on their full shingle sets; large families are split into
+   Keys with very many texts are compared in blocks, and pairs of whole blocks are tasks of their own. Candidates are texts whose
+   sketches agree in ``ALIKE`` bytes, so that texts which share a little, as a licence, are not all one family.
+4. All near pairs of a family of connected candidates are counted exactly on their full shingle sets; large families are split into
    pairs of blocks. A task gives numbers of links, a forest of the symmetric ones and each text's largest container, not pairs.
+   ``far_links`` finds all other links exactly, so families decide what a link costs, not whether it is found.
 5. Links whose intersection is most of either set join classes; a text without such a link that is nearly all contained in larger
    ones joins the class of the largest of them. So texts that merely share a small text do not fall into one class.
 
@@ -39,7 +40,8 @@ from .scratch import written
 SHINGLE = 5
 HASHES = 96
 SKETCH = 40
-NEAR = 3  # partitions apart that bands serve
+NEAR = 1  # partitions apart that bands serve
+ALIKE = 12  # bytes of two sketches that agree if a family may hold both texts
 NO_ID = 1 << 62  # from here on ids stand for texts without one
 _A = (np.random.default_rng(20).integers(1, 2**62, HASHES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = np.random.default_rng(21).integers(1, 2**62, HASHES).astype(np.uint64)
@@ -143,7 +145,7 @@ def compare(k: Keys, i: np.ndarray, j: np.ndarray, plans: list[tuple[int, int]],
     for s in range(0, len(at), 1 << 15):
         same[s : s + (1 << 15)] = (k.sketch[i[s : s + (1 << 15)]] == k.sketch[j[s : s + (1 << 15)]]).sum(axis=1)
     may = np.zeros(len(ok), dtype=bool)
-    may[at] = same >= np.maximum(np.floor(least), 1)
+    may[at] = same >= np.maximum(np.floor(least), ALIKE)
     return may
 
 
@@ -404,7 +406,9 @@ def near_duplicates(
 
     links = written(spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long"))
     distinct_texts = texts.select("tid", "id", "n")
-    links = links.unionAll(written(far_links(base, distinct_texts, shingles, partition_of, NEAR, threshold, absorb, sums.n, **(far or {}))))
+    copied = texts.filter("copies > 1").join(members, "id", "left_anti").select("tid", F.col("id").alias("comp"))
+    families = members.select("tid", "comp").unionAll(copied)
+    links = links.unionAll(written(far_links(base, distinct_texts, families, shingles, partition_of, NEAR, threshold, same, absorb, sums.n, **(far or {}))))
 
     both = links.filter("tie").select("a", "b")
     tied = both.select(F.col("a").alias("id")).unionAll(both.select(F.col("b").alias("id"))).distinct()

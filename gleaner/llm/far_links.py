@@ -1,16 +1,18 @@
-"""Containment links between texts whose sets differ so much in size that no banding of a signature can find them.
+"""Containment links between texts that no family holds together: of sizes so different that no banding of a signature can find
+them, or of different families.
 
-For such a distance the Jaccard threshold falls towards zero, and a band of one row needs more hashes than any signature
-has. So each shingle is its own band, and the prefix principle keeps the candidates few:
+For such a pair the Jaccard threshold may be near zero, and a band of one row needs more hashes than any signature has. So each
+shingle is its own band, and the prefix principle keeps the candidates few:
 
-1. tasks group texts and send their shingles, sorted and delta-coded, to shards of the hash range. A shingle that more than
-   ``hot_texts`` texts of a group share goes there as one entry (how many texts, of which sizes), its list of texts elsewhere;
-2. shards keep the shingles that a text and a far larger one share, and tell the smaller text how many larger ones have it;
+1. tasks group texts and send their shingles, sorted and delta-coded, to shards of the hash range. A text goes as its place in its
+   group, so that an entry takes as many bytes however many shards there are; what the places stand for goes elsewhere once. A shingle
+   that more than ``hot_texts`` texts of a group share goes there as one entry (how many texts, of which sizes), its list of texts elsewhere;
+2. shards keep the shingles that a text and a larger one outside its family (or a far larger one) share, and tell the smaller text;
 3. a linked larger text has at least k = ``ceil(threshold * n)`` of the m shingles told, hence one of any m - k + 1 of them: only
    the m - k + 1 rarest are looked up in the lists, and nothing is if m < k;
 4. each pair found is counted on the whole set of the larger text.
 
-No pair is lost: nothing is sampled, and no list is cut. Shingles are compared by 48 bits of their hashes.
+No pair is lost, whatever the families are: nothing is sampled, and no list is cut. Shingles and families are compared by 48 bits of hashes.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
 from .scratch import written
 
-_LIST, _SMALL, _HOT, _HOT_LIST = 1, 0, 2, 3
-MET = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("tids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("pack", pa.binary())])
-MET_DDL = "kind int, h long, tids array<long>, ns array<int>, pack binary"
+_LIST, _SMALL, _HOT, _HOT_LIST, _NAMES = 1, 0, 2, 3, 4
+MET = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("uids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("fams", pa.list_(pa.int64())), ("pack", pa.binary())])
+MET_DDL = "kind int, h long, uids array<long>, ns array<int>, fams array<long>, pack binary"
 _B48 = np.uint64(16)
 
 
@@ -71,33 +74,34 @@ def lists(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
 
 
-def rows(kind: int, h: np.ndarray, tids: pa.Array | None = None, ns: pa.Array | None = None, packs: list[bytes] | None = None) -> pa.Table:
+def rows(kind: int, h: np.ndarray, uids: pa.Array | None = None, ns: pa.Array | None = None, fams: pa.Array | None = None, packs: list[bytes] | None = None) -> pa.Table:
     n = len(h)
-    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(h.astype(np.int64)), tids, ns, pa.array(packs, pa.binary()) if packs is not None else None]
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(h.astype(np.int64)), uids, ns, fams, pa.array(packs, pa.binary()) if packs is not None else None]
     return pa.table([pa.nulls(n, f.type) if c is None else c for c, f in zip(cols, MET)], schema=MET)
 
 
-def small_rows(tid: np.ndarray, n: np.ndarray, h: np.ndarray, far: np.ndarray, shards: int) -> pa.Table:
-    """What the smaller texts are told, a row for each shard of texts."""
-    shard = (tx.mix(tid.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+def small_rows(uid: np.ndarray, n: np.ndarray, h: np.ndarray, far: np.ndarray, shards: int) -> pa.Table:
+    """What the smaller texts are told, a row for each shard of groups."""
+    shard = (uid >> 16) % shards
     order = np.argsort(shard, kind="stable")
     cut = np.append(heads(shard[order]), len(order))
     parts = [order[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    data = [pack((tid[p].view(np.uint64), 8), (n[p], 4), (h[p], 6), (np.minimum(far[p], 2**32 - 1), 4)) for p in parts]
+    data = [pack((uid[p].view(np.uint64), 8), (n[p], 4), (h[p], 6), (np.minimum(far[p], 2**32 - 1), 4)) for p in parts]
     return rows(_SMALL, shard[order][cut[:-1]] if len(order) else np.zeros(0, np.int64), packs=data)
 
 
 class Group:
     """Texts of one task that send their shingles together."""
 
-    def __init__(self, hot_texts: int) -> None:
-        self.hot_texts = hot_texts
+    def __init__(self, gid: int, hot_texts: int) -> None:
+        self.gid, self.hot_texts = gid, hot_texts
         self.codes: list[np.ndarray] = []
         self.tids: list[int] = []
+        self.fams: list[int] = []
         self.seen: set[int] = set()
         self.size = 0
 
-    def add(self, tids: np.ndarray, keys: np.ndarray, doc: np.ndarray) -> None:
+    def add(self, tids: np.ndarray, fams: np.ndarray, keys: np.ndarray, doc: np.ndarray) -> None:
         place = np.full(len(tids), -1, dtype=np.int64)
         for i in np.unique(doc).tolist():
             t = int(tids[i])
@@ -105,6 +109,7 @@ class Group:
                 self.seen.add(t)
                 place[i] = len(self.tids)
                 self.tids.append(t)
+                self.fams.append(int(fams[i]))
         at = place[doc]
         new = at >= 0
         self.codes.append((keys[new] >> _B48 << _B48) | at[new].astype(np.uint64))
@@ -118,7 +123,7 @@ class Group:
         if not len(code):
             return
         h, doc = code >> _B48, (code & np.uint64(0xFFFF)).astype(np.int64)
-        tids = np.array(self.tids, dtype=np.int64)
+        tids, fams = np.array(self.tids, dtype=np.int64), np.array(self.fams, dtype=np.int64)
         n = np.bincount(doc, minlength=len(tids))
         cut = heads(h)
         size = np.diff(np.append(cut, len(h)))
@@ -131,42 +136,49 @@ class Group:
         least, most = np.minimum.reduceat(n[doc], cut)[hot], np.maximum.reduceat(n[doc], cut)[hot]
         hot_to = np.searchsorted(shard_of(hh), np.arange(n_shards + 1))
         some = np.flatnonzero((np.diff(to) > 0) | (np.diff(hot_to) > 0))
+        gid = self.gid.to_bytes(8, "little")
         for lo in range(0, len(some), 64):
             data = []
             for s in some[lo : lo + 64]:
                 a, b, x, y = to[s], to[s + 1], hot_to[s], hot_to[s + 1]
-                here, which = np.unique(cd[a:b], return_inverse=True)
+                d = cd[a:b]
+                own = fams[d]
                 data.append(
-                    pack((tids[here].view(np.uint64), 8), (n[here], 4))
-                    + pack((deltas(ch[a:b]), 6), (which, 2))
+                    gid
+                    + pack((deltas(ch[a:b]), 6), (d, 2), (n[d], 4))
+                    + pack((np.packbits(own != 0), 1))
+                    + pack((own[own != 0], 6))
                     + pack((hh[x:y], 6), (least[x:y], 4), (most[x:y], 4), (size[hot][x:y], 4))
                 )
             yield pa.record_batch([pa.array(some[lo : lo + 64]), pa.array(np.zeros(len(data), np.int64)), pa.array(data, pa.binary())], names=["shard", "sub", "pack"])
-        if len(hh):
-            d = doc[~cold]
-            data = pack((hh, 6), (size[hot], 4)) + pack((tids[d].view(np.uint64), 8), (n[d], 4))
-            sub = int(tx.mix(np.array([tids.min()], np.int64).view(np.uint64))[0] >> np.uint64(1))
-            yield pa.record_batch([pa.array([-1]), pa.array([sub]), pa.array([data], pa.binary())], names=["shard", "sub", "pack"])
+        d = doc[~cold]
+        data = gid + pack((tids.view(np.uint64), 8), (n, 4), (fams, 6)) + pack((hh, 6), (size[hot], 4)) + pack((d, 2))
+        yield pa.record_batch([pa.array([-1]), pa.array([self.gid]), pa.array([data], pa.binary())], names=["shard", "sub", "pack"])
 
 
 def far_links(
     base: DataFrame,
     texts: DataFrame,
+    families: DataFrame,
     shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
     partition_of: Callable[[np.ndarray], np.ndarray],
     near: int,
     threshold: float,
+    same: float,
     absorb: float,
     n_shingles: int,
     shard_entries: int = 1_000_000,
     group_entries: int = 1_000_000,
     shard_texts: int = 8_000,
     hot_texts: int = 64,
+    known_rows: int = 4_000_000,
 ) -> DataFrame:
-    """(a, b, n, tie, links): the links of texts more than ``near`` partitions apart, each as a row for either end.
+    """(a, b, n, tie, links): the links of texts more than ``near`` partitions apart or not of one family, each as a row for either end.
 
-    base has (doc_id, tid, text), texts (tid, id, n) with one row for each distinct text; tid is a hash of the text. ``shingles`` gives
-    the hashes of a block of texts and the text of each. In a row of the smaller text b is the larger one if it holds ``absorb`` of it.
+    base has (doc_id, tid, text), texts (tid, id, n) with one row for each distinct text; tid is a hash of the text. families has (tid, comp)
+    of texts that are in a family or have copies. ``shingles`` gives the hashes of a block of texts and the text of each. In a row of the
+    smaller text b is the larger one if it holds ``absorb`` of it; a row with ``tie`` stands for a pair that shares ``same`` of the larger set.
+    Families of at most ``known_rows`` rows are sent to all tasks (16 bytes a row), others are joined.
     """
     n_shards = max(1, n_shingles // shard_entries)
     n_small = max(1, texts.count() // shard_texts)
@@ -176,49 +188,79 @@ def far_links(
     need += partition_of(need).astype(np.int64) <= np.arange(64) + near
     least_far = lambda n: need[partition_of(n)]
 
+    fam_of = lambda comp: ((tx.mix(comp.view(np.uint64)) >> _B48) | np.uint64(1)).astype(np.int64)
+    few = families.limit(known_rows + 1).count() <= known_rows
+    if few:
+        got = families.toArrow()
+        ft, fc = got.column("tid").to_numpy(), got.column("comp").to_numpy()
+        order = np.argsort(ft)
+        known_fams = base.sparkSession.sparkContext.broadcast((ft[order], fam_of(fc[order])))
+        del got, ft, fc, order
+        read = base.select("tid", "text", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("no"))
+    else:  # in an order that a task which runs again meets too
+        read = base.join(families, "tid", "left").select("tid", "text", F.coalesce("comp", F.lit(0)).alias("comp"), F.col("comp").isNull().alias("no"))
+        read = read.sortWithinPartitions("tid")
+
+    def families_of(batch: pa.RecordBatch) -> np.ndarray:
+        """A number for the family of each row, 0 for none."""
+        tids = batch.column("tid").to_numpy()
+        if not few:
+            return np.where(batch.column("no").to_numpy(zero_copy_only=False), 0, fam_of(batch.column("comp").to_numpy()))
+        all_tids, all_fams = known_fams.value
+        if not len(all_tids):
+            return np.zeros(len(tids), np.int64)
+        at = np.minimum(np.searchsorted(all_tids, tids), len(all_tids) - 1)
+        return np.where(all_tids[at] == tids, all_fams[at], 0)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = Group(hot_texts)
+        gid = TaskContext.get().partitionId() << 20
+        group = Group(gid, hot_texts)
         for batch in batches:
-            tids = batch.column("tid").to_numpy()
+            tids, fams = batch.column("tid").to_numpy(), families_of(batch)
             for lo, hi, buf, off in tx.text_chunks(batch.column("text")):
-                if group.size > group_entries or len(group.tids) + hi - lo > 65536:
-                    yield from group.send(n_shards)
-                    group = Group(hot_texts)
                 for a in range(lo, hi, 60_000):
                     b = min(a + 60_000, hi)
-                    if len(group.tids) + b - a > 65536:
+                    if group.size > group_entries or len(group.tids) + b - a > 65536:
                         yield from group.send(n_shards)
-                        group = Group(hot_texts)
+                        gid += 1
+                        group = Group(gid, hot_texts)
                     part = off[a - lo : b - lo + 1]
-                    group.add(tids[a:b], *shingles(buf[part[0] : part[-1]], part - part[0]))
+                    group.add(tids[a:b], fams[a:b], *shingles(buf[part[0] : part[-1]], part - part[0]))
         yield from group.send(n_shards)
         tx.give_back()
 
-    def hot_lists(table: pa.Table) -> pa.Table:
+    def group_rows(table: pa.Table) -> pa.Table:
+        """The texts of groups, for those that are told and for names, and the lists of their hot shingles."""
         out = []
         for cell in table.column("pack"):
             data = cell.as_py()
-            (h, size), at = unpack(data, 0, (6, 4))
-            (tid, n), _ = unpack(data, at, (8, 4))
+            gid = int.from_bytes(data[:8], "little")
+            (tid, n, fam), at = unpack(data, 8, (8, 4, 6))
+            (h, size), at = unpack(data, at, (6, 4))
+            d = unpack(data, at, (2,))[0][0].astype(np.int64)
+            out.append(rows(_NAMES, np.array([gid % n_small]), packs=[gid.to_bytes(8, "little") + pack((tid, 8), (n, 4), (fam, 6))]))
             off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-            out.append(rows(_HOT_LIST, h, lists(tid.view(np.int64), off, pa.int64()), lists(n.astype(np.int32), off, pa.int32())))
+            out.append(rows(_HOT_LIST, h, lists(gid << 16 | d, off, pa.int64()), lists(n.astype(np.int32)[d], off, pa.int32()), lists(fam.astype(np.int64)[d], off, pa.int64())))
         return pa.concat_tables(out)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            return hot_lists(table)
-        hs, ts, ns, hot = [], [], [], []
+            return group_rows(table)
+        hs, us, ns, fs, hot = [], [], [], [], []
         for cell in table.column("pack"):
             data = cell.as_py()
-            (tid, n), at = unpack(data, 0, (8, 4))
-            (diff, which), at = unpack(data, at, (6, 2))
+            (diff, which, n), at = unpack(data, 8, (6, 2, 4))
+            (bits,), at = unpack(data, at, (1,))
+            (some,), at = unpack(data, at, (6,))
             hs.append(np.cumsum(diff, dtype=np.uint64))
-            which = which.astype(np.int64)
-            ts.append(tid.view(np.int64)[which])
-            ns.append(n.astype(np.int64)[which])
+            us.append(int.from_bytes(data[:8], "little") << 16 | which.astype(np.int64))
+            ns.append(n.astype(np.int32))
+            fam = np.zeros(len(n), np.int64)
+            fam[np.unpackbits(bits.astype(np.uint8), count=len(n)).view(bool)] = some.astype(np.int64)
+            fs.append(fam)
             hot.append(np.stack(unpack(data, at, (6, 4, 4, 4))[0]).astype(np.int64))
-        h, tid, n = np.concatenate(hs), np.concatenate(ts), np.concatenate(ns)
-        del hs, ts, ns
+        h, uid, n, fam = np.concatenate(hs), np.concatenate(us), np.concatenate(ns), np.concatenate(fs)
+        del hs, us, ns, fs
         heat = np.concatenate(hot, axis=1)
         heat = heat[:, np.argsort(heat[0], kind="stable")]
         cut = heads(heat[0])
@@ -229,109 +271,130 @@ def far_links(
         # entries of shingles that several texts have, by shingle and size
         order = np.argsort(h)
         s = h[order]
-        same = np.zeros(len(s) + 1, dtype=bool)
-        same[1:-1] = s[1:] == s[:-1]
-        several = same[1:] | same[:-1]
+        same_h = np.zeros(len(s) + 1, dtype=bool)
+        same_h[1:-1] = s[1:] == s[:-1]
+        several = same_h[1:] | same_h[:-1]
         if len(hot_h):
             several |= hot_h[np.minimum(np.searchsorted(hot_h, s), len(hot_h) - 1)] == s
         order = order[several]
-        h, tid, n = h[order], tid[order], n[order]
-        del s, same, several
-        order = np.lexsort((tid, n, h))
-        h, tid, n = h[order], tid[order], n[order]
-        if len(h):
-            keep = np.concatenate([[True], (h[1:] != h[:-1]) | (tid[1:] != tid[:-1])])
-            h, tid, n = h[keep], tid[keep], n[keep]
+        h, uid, n, fam = h[order], uid[order], n[order].astype(np.int64), fam[order]
+        del s, same_h, several
+        order = np.lexsort((uid, n, h))
+        h, uid, n, fam = h[order], uid[order], n[order], fam[order]
+        del order
         every = np.union1d(h, hot_h)
         g = np.searchsorted(every, h)
         first = np.searchsorted(g, np.arange(len(every) + 1))
-        least, most, more = np.full(len(every), 2**40), np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        most, more = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
         here = np.flatnonzero(np.diff(first))
-        least[here], most[here] = n[first[here]], n[first[here + 1] - 1]
+        most[here] = n[first[here + 1] - 1]
         at = np.searchsorted(every, hot_h)
-        least[at], most[at] = np.minimum(least[at], hot_least), np.maximum(most[at], hot_most)
+        most[at] = np.maximum(most[at], hot_most)
         more[at] = hot_n
-        bound = least_far(n)
-        wide = most[g] >= bound
-        small = np.flatnonzero(wide)
-        # far larger texts of the same shingle: those from the bound on, as sizes ascend
-        rank = np.searchsorted(g * 2**34 + n, g[small] * 2**34 + bound[small])
-        far = first[g[small] + 1] - rank + more[g[small]]
-        large = np.flatnonzero(n >= least_far(least[g]))
+        # of a shingle's texts, as sizes ascend: is there one of another family after it, or before it
+        other = np.zeros(len(h), np.int64)
+        other[1:] = (g[1:] == g[:-1]) & ((fam[1:] != fam[:-1]) | (fam[1:] == 0))
+        other = np.cumsum(other)
+        begin, end = first[g], first[g + 1]
+        small = np.flatnonzero((other[end - 1] > other) | (n[end - 1] >= least_far(n)) | (more[g] > 0))
+        far = end[small] - small - 1 + more[g[small]]
+        large = np.flatnonzero((other > other[begin]) | (n >= least_far(n[begin])) | (more[g] > 0))
         lh = h[large]
         lcut = heads(lh)
         off = np.append(lcut, len(lh))
         out = [
-            small_rows(tid[small], n[small], h[small], far, n_small),
-            rows(_LIST, lh[lcut], lists(tid[large], off, pa.int64()), lists(n[large].astype(np.int32), off, pa.int32())),
+            small_rows(uid[small], n[small], h[small], far, n_small),
+            rows(_LIST, lh[lcut], lists(uid[large], off, pa.int64()), lists(n[large].astype(np.int32), off, pa.int32()), lists(fam[large], off, pa.int64())),
         ]
-        relevant = at[most[at] >= least_far(least[at])]
-        ends = np.arange(len(relevant) + 1)
-        far_hot = np.diff(first)[relevant] + more[relevant]
-        out.append(rows(_HOT, every[relevant], lists(far_hot, ends, pa.int64()), lists(most[relevant].astype(np.int32), ends, pa.int32())))
-        del h, tid, n, order
+        ends = np.arange(len(at) + 1)
+        far_hot = np.diff(first)[at] + more[at]
+        out.append(rows(_HOT, every[at], lists(far_hot, ends, pa.int64()), lists(most[at].astype(np.int32), ends, pa.int32())))
+        del h, uid, n, fam, other, begin, end
         tx.give_back()
         return pa.concat_tables(out)
 
-    sent = base.select("tid", "text").mapInArrow(send, "shard long, sub long, pack binary")
+    sent = read.mapInArrow(send, "shard long, sub long, pack binary")
     met = written(sent.groupBy("shard", "sub").applyInArrow(meet, MET_DDL))
-    hot = met.filter(F.col("kind") == _HOT).select("h", F.col("tids")[0].alias("far"), F.col("ns")[0].alias("most"))
-    told = met.filter(F.col("kind") == _SMALL).select(F.col("h").alias("shard"), "pack")
+    hot = met.filter(F.col("kind") == _HOT).select("h", F.col("uids")[0].alias("far"), F.col("ns")[0].alias("most"))
+    told = met.filter(F.col("kind").isin(_SMALL, _NAMES)).select(F.col("h").alias("shard"), "pack", (F.col("kind") == _NAMES).alias("names"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = batch.column("tids").value_lengths().to_numpy()
-            tid, n = batch.column("tids").flatten().to_numpy(), batch.column("ns").flatten().to_numpy().astype(np.int64)
+            size = batch.column("uids").value_lengths().to_numpy()
+            uid, n = batch.column("uids").flatten().to_numpy(), batch.column("ns").flatten().to_numpy().astype(np.int64)
             h, far, most = (np.repeat(batch.column(c).to_numpy(), size) for c in ("h", "far", "most"))
-            some = np.flatnonzero(most >= least_far(n))
-            got = small_rows(tid[some], n[some], h[some].astype(np.uint64), far[some], n_small)
+            some = np.flatnonzero(most >= n)
+            got = small_rows(uid[some], n[some], h[some].astype(np.uint64), far[some], n_small)
             yield from got.select(["h", "pack"]).rename_columns(["shard", "pack"]).combine_chunks().to_batches()
 
     hot_list = met.filter(F.col("kind") == _HOT_LIST)
     if not hot.isEmpty():
-        told = told.unionAll(hot_list.select("h", "tids", "ns").join(hot, "h").mapInArrow(tell, "shard long, pack binary"))
+        hot_told = hot_list.select("h", "uids", "ns").join(hot, "h").mapInArrow(tell, "shard long, pack binary")
+        told = told.unionAll(hot_told.withColumn("names", F.lit(False)))
 
     def choose(table: pa.Table) -> pa.Table:
-        parts = [unpack(cell.as_py(), 0, (8, 4, 6, 4))[0] for cell in table.column("pack")]
-        tid, n, h, far = (np.concatenate([p[c] for p in parts]) for c in range(4))
-        tid, n, h, far = tid.view(np.int64), n.astype(np.int64), h.astype(np.int64), far.astype(np.int64)
-        order = np.lexsort((far, h, tid))
-        tid, n, h, far = tid[order], n[order], h[order], far[order]
-        keep = np.concatenate([[True], (tid[1:] != tid[:-1]) | (h[1:] != h[:-1])])
-        tid, n, h, far = tid[keep], n[keep], h[keep], far[keep]
-        cut = heads(tid)
-        size = np.diff(np.append(cut, len(tid)))
+        parts, names = [], {}
+        for cell, named in zip(table.column("pack"), table.column("names").to_pylist()):
+            data = cell.as_py()
+            if named:
+                names[int.from_bytes(data[:8], "little")] = unpack(data, 8, (8, 4, 6))[0]
+            else:
+                parts.append(unpack(data, 0, (8, 4, 6, 4))[0])
+        uid, n, h, far = (np.concatenate([np.zeros(0, np.uint64), *(p[c] for p in parts)]) for c in range(4))
+        uid, n, h, far = uid.view(np.int64), n.astype(np.int64), h.astype(np.int64), far.astype(np.int64)
+        order = np.lexsort((far, h, uid))
+        uid, n, h, far = uid[order], n[order], h[order], far[order]
+        keep = np.ones(len(uid), bool)
+        keep[1:] = (uid[1:] != uid[:-1]) | (h[1:] != h[:-1])
+        uid, n, h, far = uid[keep], n[keep], h[keep], far[keep]
+        cut = heads(uid)
+        size = np.diff(np.append(cut, len(uid)))
         least = np.ceil(threshold * n[cut] - 1e-9).astype(np.int64)
         alive = size >= least
         pick = np.repeat(alive, size)
         sets = [h[a : a + k].astype(np.uint64).tobytes() for a, k in zip(cut[alive], size[alive])]
-        order = np.lexsort((far, tid))  # tids ascend, so runs stay where they are
-        place = np.arange(len(tid)) - np.repeat(cut, size)
-        rare = np.zeros(len(tid), dtype=bool)
+        order = np.lexsort((far, uid))  # uids ascend, so runs stay where they are
+        place = np.arange(len(uid)) - np.repeat(cut, size)
+        rare = np.zeros(len(uid), dtype=bool)
         rare[order[pick & (place < np.repeat(size - least + 1, size))]] = True
         rare = np.flatnonzero(rare)
-        q = tid[cut[alive]]
-        cols = [
-            np.concatenate([tid[rare], q]),
-            np.concatenate([h[rare], np.full(len(q), -1)]),
-            np.concatenate([least_far(n[rare]), n[cut[alive]]]),
-        ]
-        return pa.table([*map(pa.array, cols), pa.array([None] * len(rare) + sets, pa.binary())], names=["q", "h", "n", "set"])
+        q = uid[cut[alive]]
+        both = np.concatenate([uid[rare], q])
+        tid, fam = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
+        for gid in np.unique(both >> 16).tolist():
+            mine = both >> 16 == gid
+            tid[mine], fam[mine] = (names[gid][c].view(np.int64)[both[mine] & 0xFFFF] for c in (0, 2))
+        cols = [both, tid, fam, np.concatenate([h[rare], np.full(len(q), -1)]), np.concatenate([n[rare], n[cut[alive]]])]
+        return pa.table([*map(pa.array, cols), pa.array([None] * len(rare) + sets, pa.binary())], names=["u", "q", "fam", "h", "n", "set"])
+
+    def far_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(least_far(batch.column("n").to_numpy()), pa.int64())], names=[*batch.schema.names, "need"])
 
-    chosen = written(told.groupBy("shard").applyInArrow(choose, "q long, h long, n long, set binary"))
-    known = met.filter(F.col("kind") == _LIST).unionAll(hot_list).select("h", "tids", "ns")
-    pairs = chosen.filter("set IS NULL").select("q", "h", F.col("n").alias("need")).join(known, "h")
-    pairs = pairs.select("q", "need", F.explode(F.arrays_zip("tids", "ns")).alias("e")).filter("e.ns >= need")
-    pairs = written(pairs.select("q", F.col("e.tids").alias("d")).distinct())
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column("pack"):
+                data = cell.as_py()
+                tid = unpack(data, 8, (8, 4, 6))[0][0].view(np.int64)
+                yield pa.record_batch([pa.array((int.from_bytes(data[:8], "little") << 16) + np.arange(len(tid))), pa.array(tid)], names=["e_uid", "d"])
+
+    chosen = written(told.groupBy("shard").applyInArrow(choose, "u long, q long, fam long, h long, n long, set binary"))
+    known = met.filter(F.col("kind") == _LIST).unionAll(hot_list).select("h", "uids", "ns", "fams")
+    sought = chosen.filter("set IS NULL").select("u", "q", "fam", "h", "n").mapInArrow(far_from, "u long, q long, fam long, h long, n long, need long")
+    pairs = sought.join(known, "h").select("u", "q", "fam", "n", "need", F.explode(F.arrays_zip("uids", "ns", "fams")).alias("e"))
+    pairs = pairs.filter("(e.ns > n OR (e.ns = n AND e.uids > u)) AND (fam = 0 OR e.fams != fam OR e.ns >= need)")
+    pairs = pairs.select("u", "q", F.col("e.uids").alias("e_uid")).distinct()
+    names = met.filter(F.col("kind") == _NAMES).select("pack").mapInArrow(named, "e_uid long, d long")
+    pairs = written(pairs.join(names, "e_uid").filter("q != d").select("u", "d").distinct())
 
     # the sets of the smaller texts go to the larger ones, at most about ``together`` to a row
     together = 256
     loads = pairs.groupBy("d").agg(F.ceil(F.count("*") / together).alias("loads"))
-    carried = pairs.join(chosen.filter("set IS NOT NULL").select("q", "n", "set"), "q").join(loads, "d")
-    carried = carried.groupBy("d", F.pmod(F.xxhash64("q"), F.col("loads")).alias("load")).agg(F.collect_list(F.struct("q", "n", "set")).alias("sets"))
-    carried = carried.join(texts.select(F.col("tid").alias("d"), "id"), "d")
+    carried = pairs.join(chosen.filter("set IS NOT NULL").select("u", "q", "n", "set"), "u").join(loads, "d")
+    carried = carried.groupBy("d", F.pmod(F.xxhash64("u"), F.col("loads")).alias("load")).agg(F.collect_list(F.struct("q", "n", "set")).alias("sets"))
+    carried = carried.join(texts.select(F.col("tid").alias("d"), "id", F.col("n").alias("size")), "d")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,14 +414,20 @@ def far_links(
                     ok = np.flatnonzero(shared >= np.ceil(threshold * n - 1e-9))
                     q = cell.field("q").to_numpy()[ok]
                     yield pa.record_batch(
-                        [pa.array(q), pa.array(np.full(len(q), batch.column("tid")[i].as_py())), pa.array(shared[ok] >= absorb * n[ok])], names=["q", "d", "inside"]
+                        [pa.array(q), pa.array(np.full(len(q), batch.column("tid")[i].as_py())), pa.array(shared[ok] >= absorb * n[ok]), pa.array(shared[ok] >= same * batch.column("size")[i].as_py())],
+                        names=["q", "d", "inside", "tie"],
                     )
 
-    whole = base.join(carried, (F.col("tid") == F.col("d")) & ((F.col("doc_id") == F.col("id")) | F.col("doc_id").isNull())).select("tid", "text", "sets")
-    links = written(whole.mapInArrow(count, "q long, d long, inside boolean").distinct())
-    small, large = texts.select(F.col("tid").alias("q"), F.col("id").alias("a")), texts.select(F.col("tid").alias("d"), F.col("id").alias("b"), "n")
-    named = links.join(small, "q").join(large, "d")
+    whole = base.join(carried, (F.col("tid") == F.col("d")) & ((F.col("doc_id") == F.col("id")) | F.col("doc_id").isNull())).select("tid", "text", "size", "sets")
+    links = written(whole.mapInArrow(count, "q long, d long, inside boolean, tie boolean").distinct())
+    small, large = texts.select(F.col("tid").alias("q"), F.col("id").alias("a"), F.col("n").alias("m")), texts.select(F.col("tid").alias("d"), F.col("id").alias("b"), "n")
+    found = links.join(small, "q").join(large, "d")
+    turned = (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))  # of equal sizes the one with the smaller id counts as the larger
+    found = found.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "n", "inside", "tie")
+    found = found.groupBy("a", "b", "n").agg(F.max("inside").alias("inside"), F.max("tie").alias("tie"))
     nothing = [F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("tie")]
-    ends = [named.groupBy(F.col(end).alias("a")).agg(F.count("*").alias("links")).select("a", *nothing, "links") for end in "ab"]
-    inside = named.filter("inside").select("a", "b", "n", F.lit(False).alias("tie"), F.lit(None).cast("long").alias("links"))
-    return ends[0].unionAll(ends[1]).unionAll(inside)
+    ends = [found.groupBy(F.col(end).alias("a")).agg(F.count("*").alias("links")).select("a", *nothing, "links") for end in "ab"]
+    no_links = F.lit(None).cast("long").alias("links")
+    inside = found.filter("inside").select("a", "b", "n", F.lit(False).alias("tie"), no_links)
+    ties = found.filter("tie").select("a", "b", F.lit(None).cast("long").alias("n"), F.lit(True).alias("tie"), no_links)
+    return ends[0].unionAll(ends[1]).unionAll(inside).unionAll(ties)

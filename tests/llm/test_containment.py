@@ -135,3 +135,64 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (100, 102), (7, 300)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 300: 0, 100: 100, 101: 100, 102: 100}
+
+
+def test_shingles_take_as_many_bytes_for_any_number_of_shards():
+    import zlib
+
+    import numpy as np
+
+    from gleaner.llm.far_links import Group
+
+    def sent(n_shards):
+        rng, group = np.random.default_rng(1), Group(7, 64)
+        group.add(np.arange(500) << 40, np.arange(500) % 9, rng.integers(0, 2**63, 100_000).astype(np.uint64), np.repeat(np.arange(500), 200))
+        return sum(len(zlib.compress(x.as_py(), 1)) for batch in group.send(n_shards) for x in batch.column("pack"))
+
+    assert sent(200) < 1.2 * sent(1)
+
+
+def test_texts_that_share_a_little_are_no_family():
+    import numpy as np
+
+    text = lambda k: " ".join([*(f"c{i}" for i in range(12)), *(f"{k}w{i}" for i in range(30 + 40 * (k % 5)))])
+    docs = [text(k) for k in range(400)]
+    _, _, buf, off = next(iter(ct.tx.text_chunks(pa.array(docs))))
+    keys, cut = ct.shingle_sets(buf, off)
+    sig = ct.signatures(keys, cut)
+    n = len(docs)
+    first = {"key": np.zeros(n, np.uint64), "id": np.arange(n), "n": np.diff(cut), "band": np.zeros(n, np.uint8)}
+    for rows, _ in {ct.tune(0.6, d) for d in range(ct.NEAR + 1)}:
+        k = ct.Keys(first | {"rows": np.full(n, rows, np.uint8)}, (sig[:, ct.HASHES - ct.SKETCH :] & 0xFF).astype(np.uint8))
+        i, j = np.triu_indices(n, 1)
+        assert ct.compare(k, i, j, [ct.tune(0.6, d) for d in range(ct.NEAR + 1)], 0.6).mean() < 1e-3
+
+
+def test_every_link_is_found_without_any_family(spark, monkeypatch):
+    monkeypatch.setattr(ct, "ALIKE", ct.SKETCH + 1)  # no two texts are candidates, so all links come from the shards
+    say = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*say[:i], f"x{i}", *say[i + 1 :]])) for i in range(0, 60, 4)] + [(i, " ".join(say[: i - 75])) for i in range(90, 120, 5)]
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (None, rows[1][1]), (300, "lone text of a few words")]
+    degree = Counter(x for p in brute_links([r for r in rows if r[0] is not None]) for x in p)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: degree[0 if i in (200, 201) else i] for i, _ in rows if i is not None}
+    for options in ({}, {"known_rows": 0, "group_entries": 300, "shard_entries": 200, "shard_texts": 3}):
+        got = {r.doc_id: r for r in ct.near_duplicates(df, far=options).collect() if r.doc_id is not None}
+        assert {i: r.n_links for i, r in got.items()} == want
+        assert len({got[i].class_id for i in range(0, 60, 4)}) == 1
+
+
+def test_shuffles_go_when_a_table_is_written(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from gleaner.llm import scratch
+
+    where = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {str(x) for x in where.rglob("shuffle_*.data")}
+    before = files()
+    scratch.written(spark.range(200_000).repartition(7).groupBy("id").count())
+    for _ in range(50):
+        if not files() <= before:
+            time.sleep(0.1)
+    assert files() <= before
