@@ -405,7 +405,7 @@ def near_duplicates(
         return pa.table([pa.concat_arrays([p[c] for p in parts]) for c in range(5)], schema=links_schema)
 
     links = written(spread.groupBy("comp", "x", "y").applyInArrow(verify, "a long, b long, n long, tie boolean, links long"))
-    distinct_texts = texts.select("tid", "id", "n")
+    distinct_texts = texts.select("tid", "id", "n", "copies")
     copied = texts.filter("copies > 1").join(members, "id", "left_anti").select("tid", F.col("id").alias("comp"))
     families = members.select("tid", "comp").unionAll(copied)
     links = links.unionAll(written(far_links(base, distinct_texts, families, shingles, partition_of, NEAR, threshold, same, absorb, sums.n, **(far or {}))))

@@ -2,15 +2,16 @@
 them, or of different families.
 
 For such a pair the Jaccard threshold may be near zero, and a band of one row needs more hashes than any signature has. So each
-shingle is its own band, and the prefix principle keeps the candidates few:
+shingle is its own band:
 
 1. tasks group texts and send their shingles, sorted and delta-coded, to shards of the hash range. A text goes as its place in its
    group, so that an entry takes as many bytes however many shards there are; what the places stand for goes elsewhere once. A shingle
    that more than ``hot_texts`` texts of a group share goes there as one entry (how many texts, of which sizes), its list of texts elsewhere;
 2. shards keep the shingles that a text and a larger one outside its family (or a far larger one) share, and tell the smaller text;
-3. a linked larger text has at least k = ``ceil(threshold * n)`` of the m shingles told, hence one of any m - k + 1 of them: only
-   the m - k + 1 rarest are looked up in the lists, and nothing is if m < k;
-4. each pair found is counted on the whole set of the larger text.
+3. a linked larger text has at least k = ``ceil(threshold * n)`` of the m shingles told, so nothing is sought if m < k. The other smaller texts,
+   which are few, are held with their told shingles by all tasks, in blocks of ``set_bytes``, and each distinct text is held against them once.
+   Such a text (a licence, say) may lie in a share of all documents, so pairs are counted where they are found and never listed,
+   but for symmetric links and each smaller text's largest containers.
 
 No pair is lost, whatever the families are: nothing is sampled, and no list is cut. Shingles and families are compared by 48 bits of hashes.
 """
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .scratch import written
 
-_LIST, _SMALL, _HOT, _HOT_LIST, _NAMES = 1, 0, 2, 3, 4
-MET = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("uids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("fams", pa.list_(pa.int64())), ("pack", pa.binary())])
-MET_DDL = "kind int, h long, uids array<long>, ns array<int>, fams array<long>, pack binary"
+_SMALL, _HOT, _HOT_LIST, _NAMES = 0, 1, 2, 3
+MET = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("uids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("pack", pa.binary())])
+MET_DDL = "kind int, h long, uids array<long>, ns array<int>, pack binary"
 _B48 = np.uint64(16)
 
 
@@ -74,19 +75,19 @@ def lists(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
 
 
-def rows(kind: int, h: np.ndarray, uids: pa.Array | None = None, ns: pa.Array | None = None, fams: pa.Array | None = None, packs: list[bytes] | None = None) -> pa.Table:
+def rows(kind: int, h: np.ndarray, uids: pa.Array | None = None, ns: pa.Array | None = None, packs: list[bytes] | None = None) -> pa.Table:
     n = len(h)
-    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(h.astype(np.int64)), uids, ns, fams, pa.array(packs, pa.binary()) if packs is not None else None]
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(h.astype(np.int64)), uids, ns, pa.array(packs, pa.binary()) if packs is not None else None]
     return pa.table([pa.nulls(n, f.type) if c is None else c for c, f in zip(cols, MET)], schema=MET)
 
 
-def small_rows(uid: np.ndarray, n: np.ndarray, h: np.ndarray, far: np.ndarray, shards: int) -> pa.Table:
+def small_rows(uid: np.ndarray, n: np.ndarray, h: np.ndarray, shards: int) -> pa.Table:
     """What the smaller texts are told, a row for each shard of groups."""
     shard = (uid >> 16) % shards
     order = np.argsort(shard, kind="stable")
     cut = np.append(heads(shard[order]), len(order))
     parts = [order[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    data = [pack((uid[p].view(np.uint64), 8), (n[p], 4), (h[p], 6), (np.minimum(far[p], 2**32 - 1), 4)) for p in parts]
+    data = [pack((uid[p].view(np.uint64), 8), (n[p], 4), (h[p], 6)) for p in parts]
     return rows(_SMALL, shard[order][cut[:-1]] if len(order) else np.zeros(0, np.int64), packs=data)
 
 
@@ -172,10 +173,11 @@ def far_links(
     shard_texts: int = 8_000,
     hot_texts: int = 64,
     known_rows: int = 4_000_000,
+    set_bytes: int = 32_000_000,
 ) -> DataFrame:
     """(a, b, n, tie, links): the links of texts more than ``near`` partitions apart or not of one family, each as a row for either end.
 
-    base has (doc_id, tid, text), texts (tid, id, n) with one row for each distinct text; tid is a hash of the text. families has (tid, comp)
+    base has (doc_id, tid, text), texts (tid, id, n, copies) with one row for each distinct text; tid is a hash of the text. families has (tid, comp)
     of texts that are in a family or have copies. ``shingles`` gives the hashes of a block of texts and the text of each. In a row of the
     smaller text b is the larger one if it holds ``absorb`` of it; a row with ``tie`` stands for a pair that shares ``same`` of the larger set.
     Families of at most ``known_rows`` rows are sent to all tasks (16 bytes a row), others are joined.
@@ -240,7 +242,7 @@ def far_links(
             d = unpack(data, at, (2,))[0][0].astype(np.int64)
             out.append(rows(_NAMES, np.array([gid % n_small]), packs=[gid.to_bytes(8, "little") + pack((tid, 8), (n, 4), (fam, 6))]))
             off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-            out.append(rows(_HOT_LIST, h, lists(gid << 16 | d, off, pa.int64()), lists(n.astype(np.int32)[d], off, pa.int32()), lists(fam.astype(np.int64)[d], off, pa.int64())))
+            out.append(rows(_HOT_LIST, h, lists(gid << 16 | d, off, pa.int64()), lists(n.astype(np.int32)[d], off, pa.int32())))
         return pa.concat_tables(out)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
@@ -265,9 +267,7 @@ def far_links(
         heat = heat[:, np.argsort(heat[0], kind="stable")]
         cut = heads(heat[0])
         hot_h = heat[0][cut].astype(np.uint64)
-        hot_least, hot_most, hot_n = (
-            (np.minimum.reduceat(heat[1], cut), np.maximum.reduceat(heat[2], cut), np.add.reduceat(heat[3], cut)) if len(cut) else (np.zeros(0, np.int64),) * 3
-        )
+        hot_most, hot_n = (np.maximum.reduceat(heat[2], cut), np.add.reduceat(heat[3], cut)) if len(cut) else (np.zeros(0, np.int64),) * 2
         # entries of shingles that several texts have, by shingle and size
         order = np.argsort(h)
         s = h[order]
@@ -295,27 +295,22 @@ def far_links(
         other = np.zeros(len(h), np.int64)
         other[1:] = (g[1:] == g[:-1]) & ((fam[1:] != fam[:-1]) | (fam[1:] == 0))
         other = np.cumsum(other)
-        begin, end = first[g], first[g + 1]
-        small = np.flatnonzero((other[end - 1] > other) | (n[end - 1] >= least_far(n)) | (more[g] > 0))
-        far = end[small] - small - 1 + more[g[small]]
-        large = np.flatnonzero((other > other[begin]) | (n >= least_far(n[begin])) | (more[g] > 0))
-        lh = h[large]
-        lcut = heads(lh)
-        off = np.append(lcut, len(lh))
+        end = first[g + 1]
+        by_size = g * 2**34 + n
+        equal = np.searchsorted(by_size, by_size)  # the first of its size: of texts of one size each is told
+        small = np.flatnonzero((other[end - 1] > other[equal]) | (n[end - 1] >= least_far(n)) | (more[g] > 0))
+        ends = np.arange(len(at) + 1)
         out = [
-            small_rows(uid[small], n[small], h[small], far, n_small),
-            rows(_LIST, lh[lcut], lists(uid[large], off, pa.int64()), lists(n[large].astype(np.int32), off, pa.int32()), lists(fam[large], off, pa.int64())),
+            small_rows(uid[small], n[small], h[small], n_small),
+            rows(_HOT, every[at], lists(hot_n, ends, pa.int64()), lists(most[at].astype(np.int32), ends, pa.int32())),
         ]
-        ends = np.arange(len(at) + 1)
-        far_hot = np.diff(first)[at] + more[at]
-        out.append(rows(_HOT, every[at], lists(far_hot, ends, pa.int64()), lists(most[at].astype(np.int32), ends, pa.int32())))
-        del h, uid, n, fam, other, begin, end
+        del h, uid, n, fam, other, end, by_size, equal
         tx.give_back()
         return pa.concat_tables(out)
 
     sent = read.mapInArrow(send, "shard long, sub long, pack binary")
     met = written(sent.groupBy("shard", "sub").applyInArrow(meet, MET_DDL))
-    hot = met.filter(F.col("kind") == _HOT).select("h", F.col("uids")[0].alias("far"), F.col("ns")[0].alias("most"))
+    hot = met.filter(F.col("kind") == _HOT).select("h", F.col("ns")[0].alias("most"))
     told = met.filter(F.col("kind").isin(_SMALL, _NAMES)).select(F.col("h").alias("shard"), "pack", (F.col("kind") == _NAMES).alias("names"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,9 +319,9 @@ def far_links(
                 continue
             size = batch.column("uids").value_lengths().to_numpy()
             uid, n = batch.column("uids").flatten().to_numpy(), batch.column("ns").flatten().to_numpy().astype(np.int64)
-            h, far, most = (np.repeat(batch.column(c).to_numpy(), size) for c in ("h", "far", "most"))
+            h, most = (np.repeat(batch.column(c).to_numpy(), size) for c in ("h", "most"))
             some = np.flatnonzero(most >= n)
-            got = small_rows(uid[some], n[some], h[some].astype(np.uint64), far[some], n_small)
+            got = small_rows(uid[some], n[some], h[some].astype(np.uint64), n_small)
             yield from got.select(["h", "pack"]).rename_columns(["shard", "pack"]).combine_chunks().to_batches()
 
     hot_list = met.filter(F.col("kind") == _HOT_LIST)
@@ -341,93 +336,110 @@ def far_links(
             if named:
                 names[int.from_bytes(data[:8], "little")] = unpack(data, 8, (8, 4, 6))[0]
             else:
-                parts.append(unpack(data, 0, (8, 4, 6, 4))[0])
-        uid, n, h, far = (np.concatenate([np.zeros(0, np.uint64), *(p[c] for p in parts)]) for c in range(4))
-        uid, n, h, far = uid.view(np.int64), n.astype(np.int64), h.astype(np.int64), far.astype(np.int64)
-        order = np.lexsort((far, h, uid))
-        uid, n, h, far = uid[order], n[order], h[order], far[order]
+                parts.append(unpack(data, 0, (8, 4, 6))[0])
+        uid, n, h = (np.concatenate([np.zeros(0, np.uint64), *(p[c] for p in parts)]).view(np.int64) for c in range(3))
+        order = np.lexsort((h, uid))
+        uid, n, h = uid[order], n[order], h[order]
         keep = np.ones(len(uid), bool)
         keep[1:] = (uid[1:] != uid[:-1]) | (h[1:] != h[:-1])
-        uid, n, h, far = uid[keep], n[keep], h[keep], far[keep]
+        uid, n, h = uid[keep], n[keep], h[keep]
         cut = heads(uid)
         size = np.diff(np.append(cut, len(uid)))
-        least = np.ceil(threshold * n[cut] - 1e-9).astype(np.int64)
-        alive = size >= least
-        pick = np.repeat(alive, size)
-        sets = [h[a : a + k].astype(np.uint64).tobytes() for a, k in zip(cut[alive], size[alive])]
-        order = np.lexsort((far, uid))  # uids ascend, so runs stay where they are
-        place = np.arange(len(uid)) - np.repeat(cut, size)
-        rare = np.zeros(len(uid), dtype=bool)
-        rare[order[pick & (place < np.repeat(size - least + 1, size))]] = True
-        rare = np.flatnonzero(rare)
-        q = uid[cut[alive]]
-        both = np.concatenate([uid[rare], q])
-        tid, fam = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
-        for gid in np.unique(both >> 16).tolist():
-            mine = both >> 16 == gid
-            tid[mine], fam[mine] = (names[gid][c].view(np.int64)[both[mine] & 0xFFFF] for c in (0, 2))
-        cols = [both, tid, fam, np.concatenate([h[rare], np.full(len(q), -1)]), np.concatenate([n[rare], n[cut[alive]]])]
-        return pa.table([*map(pa.array, cols), pa.array([None] * len(rare) + sets, pa.binary())], names=["u", "q", "fam", "h", "n", "set"])
-
-    def far_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(least_far(batch.column("n").to_numpy()), pa.int64())], names=[*batch.schema.names, "need"])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell in batch.column("pack"):
-                data = cell.as_py()
-                tid = unpack(data, 8, (8, 4, 6))[0][0].view(np.int64)
-                yield pa.record_batch([pa.array((int.from_bytes(data[:8], "little") << 16) + np.arange(len(tid))), pa.array(tid)], names=["e_uid", "d"])
-
-    chosen = written(told.groupBy("shard").applyInArrow(choose, "u long, q long, fam long, h long, n long, set binary"))
-    known = met.filter(F.col("kind") == _LIST).unionAll(hot_list).select("h", "uids", "ns", "fams")
-    sought = chosen.filter("set IS NULL").select("u", "q", "fam", "h", "n").mapInArrow(far_from, "u long, q long, fam long, h long, n long, need long")
-    pairs = sought.join(known, "h").select("u", "q", "fam", "n", "need", F.explode(F.arrays_zip("uids", "ns", "fams")).alias("e"))
-    pairs = pairs.filter("(e.ns > n OR (e.ns = n AND e.uids > u)) AND (fam = 0 OR e.fams != fam OR e.ns >= need)")
-    pairs = pairs.select("u", "q", F.col("e.uids").alias("e_uid")).distinct()
-    names = met.filter(F.col("kind") == _NAMES).select("pack").mapInArrow(named, "e_uid long, d long")
-    pairs = written(pairs.join(names, "e_uid").filter("q != d").select("u", "d").distinct())
-
-    # the sets of the smaller texts go to the larger ones, at most about ``together`` to a row
-    together = 256
-    loads = pairs.groupBy("d").agg(F.ceil(F.count("*") / together).alias("loads"))
-    carried = pairs.join(chosen.filter("set IS NOT NULL").select("u", "q", "n", "set"), "u").join(loads, "d")
-    carried = carried.groupBy("d", F.pmod(F.xxhash64("u"), F.col("loads")).alias("load")).agg(F.collect_list(F.struct("q", "n", "set")).alias("sets"))
-    carried = carried.join(texts.select(F.col("tid").alias("d"), "id", F.col("n").alias("size")), "d")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, off in tx.text_chunks(batch.column("text")):
-                keys, doc = shingles(buf, off)
-                order = np.argsort(doc, kind="stable")
-                keys, cut = keys[order] >> _B48, np.searchsorted(doc[order], np.arange(hi - lo + 1))
-                for i in range(lo, hi):
-                    own = np.sort(keys[cut[i - lo] : cut[i - lo + 1]])
-                    cell = batch.column("sets")[i].values
-                    n = cell.field("n").to_numpy()
-                    sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in cell.field("set")]
-                    at = np.cumsum([0, *map(len, sets)])
-                    flat = np.concatenate(sets)
-                    has = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool)
-                    shared = np.add.reduceat(has.astype(np.int64), at[:-1])
-                    ok = np.flatnonzero(shared >= np.ceil(threshold * n - 1e-9))
-                    q = cell.field("q").to_numpy()[ok]
-                    yield pa.record_batch(
-                        [pa.array(q), pa.array(np.full(len(q), batch.column("tid")[i].as_py())), pa.array(shared[ok] >= absorb * n[ok]), pa.array(shared[ok] >= same * batch.column("size")[i].as_py())],
-                        names=["q", "d", "inside", "tie"],
-                    )
-
-    whole = base.join(carried, (F.col("tid") == F.col("d")) & ((F.col("doc_id") == F.col("id")) | F.col("doc_id").isNull())).select("tid", "text", "size", "sets")
-    links = written(whole.mapInArrow(count, "q long, d long, inside boolean, tie boolean").distinct())
+        alive = size >= np.ceil(threshold * n[cut] - 1e-9)
+        sets = [h[a : a + k].tobytes() for a, k in zip(cut[alive], size[alive])]
+        q, n = uid[cut[alive]], n[cut[alive]]
+        tid, fam = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for gid in np.unique(q >> 16).tolist():
+            mine = q >> 16 == gid
+            tid[mine], fam[mine] = (names[gid][c].view(np.int64)[q[mine] & 0xFFFF] for c in (0, 2))
+        return pa.table([*map(pa.array, (tid, fam, n)), pa.array(sets, pa.binary())], names=["q", "fam", "n", "set"])
+
+    chosen = written(told.groupBy("shard").applyInArrow(choose, "q long, fam long, n long, set binary").dropDuplicates(["q"]))
+    bytes_all = chosen.agg(F.coalesce(F.sum(F.length("set")), F.lit(0)).alias("b")).first().b
+    blocks = max(1, -(-bytes_all // set_bytes))
+    copied = texts.filter("copies > 1").select("tid")
+    if copied.limit(500_001).count() <= 500_000:
+        copied = F.broadcast(copied)
+    once = read.join(copied, "tid", "left_anti").unionAll(read.join(copied, "tid", "left_semi").dropDuplicates(["tid"]).select(*read.columns))
+
+    def holders(block: int) -> DataFrame:
+        """Numbers of links of both ends, and pairs that may join a class, for a block of the smaller texts."""
+        got = chosen.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toArrow()
+        q, q_fam, q_n = (got.column(c).to_numpy() for c in ("q", "fam", "n"))
+        sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in got.column("set")]
+        of = np.repeat(np.arange(len(q), dtype=np.int32), [len(x) for x in sets])
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        first = heads(flat)
+        del got, sets, order
+        shared = base.sparkSession.sparkContext.broadcast((q, q_fam, q_n, flat[first], np.append(first, len(flat)), of))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, q_fam, q_n, every, first, of = shared.value
+            q_far, q_least = least_far(q_n), np.ceil(threshold * q_n - 1e-9)
+            linked, best = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+            none = lambda n, t: pa.nulls(n, t)
+
+            def ends(tid: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+                n = len(tid)
+                cols = [pa.array(tid), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.bool_()), pa.array(links)]
+                return pa.record_batch(cols, names=["q", "d", "inside", "tie", "links"])
+
+            for batch in batches if len(q) else ():
+                tids, fams = batch.column("tid").to_numpy(), families_of(batch)
+                for lo, hi, buf, off in tx.text_chunks(batch.column("text")):
+                    keys, doc = shingles(buf, off)
+                    keys >>= _B48
+                    order = np.lexsort((keys, doc))
+                    keys, doc = keys[order], doc[order]
+                    new = np.ones(len(keys), bool)
+                    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+                    keys, doc = keys[new], doc[new]
+                    size = np.bincount(doc, minlength=hi - lo)
+                    at = np.minimum(np.searchsorted(every, keys), len(every) - 1)
+                    hit = every[at] == keys
+                    at, doc = at[hit], doc[hit]
+                    cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                    total = np.concatenate([[0], np.cumsum(first[at + 1] - first[at])])[cut]
+                    s = 0
+                    while s < hi - lo:  # as many texts as have about a million entries
+                        e = max(s + 1, int(np.searchsorted(total, total[s] + (1 << 20), side="right")) - 1)
+                        a, d = at[cut[s] : cut[e]], doc[cut[s] : cut[e]]
+                        s = e
+                        long = first[a + 1] - first[a]
+                        pair, has = np.unique(np.repeat(d, long) * len(q) + of[tx.ranges(first[a], long)], return_counts=True)
+                        d, i = np.divmod(pair, len(q))
+                        n, t = size[d], tids[lo + d]
+                        ok = (has >= q_least[i]) & ((n > q_n[i]) | ((n == q_n[i]) & (t > q[i])))
+                        ok &= (q_fam[i] == 0) | (q_fam[i] != fams[lo + d]) | (n >= q_far[i])
+                        ok &= t != q[i]
+                        d, i, n, t, has = d[ok], i[ok], n[ok], t[ok], has[ok]
+                        linked += np.bincount(i, minlength=len(q))
+                        some, links = np.unique(t, return_counts=True)
+                        yield ends(some, links)
+                        inside, tie = has >= absorb * q_n[i], has >= same * n
+                        np.maximum.at(best, i[inside], n[inside])
+                        inside &= (n == best[i]) | (n == q_n[i])
+                        p = np.flatnonzero(inside | tie)
+                        cols = [pa.array(q[i[p]]), pa.array(t[p]), pa.array(inside[p]), pa.array(tie[p]), none(len(p), pa.int64())]
+                        yield pa.record_batch(cols, names=["q", "d", "inside", "tie", "links"])
+            some = np.flatnonzero(linked)
+            yield ends(q[some], linked[some])
+            tx.give_back()
+
+        return written(once.mapInArrow(scan, "q long, d long, inside boolean, tie boolean, links long"))
+
+    found = holders(0)
+    for block in range(1, blocks):
+        found = found.unionAll(holders(block))
     small, large = texts.select(F.col("tid").alias("q"), F.col("id").alias("a"), F.col("n").alias("m")), texts.select(F.col("tid").alias("d"), F.col("id").alias("b"), "n")
-    found = links.join(small, "q").join(large, "d")
-    turned = (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))  # of equal sizes the one with the smaller id counts as the larger
-    found = found.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "n", "inside", "tie")
-    found = found.groupBy("a", "b", "n").agg(F.max("inside").alias("inside"), F.max("tie").alias("tie"))
     nothing = [F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("tie")]
-    ends = [found.groupBy(F.col(end).alias("a")).agg(F.count("*").alias("links")).select("a", *nothing, "links") for end in "ab"]
+    ends = found.filter("d IS NULL").groupBy("q").agg(F.sum("links").alias("links")).join(small, "q").select("a", *nothing, "links")
+    pairs = found.filter("d IS NOT NULL").join(small, "q").join(large, "d")
+    turned = (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))  # of equal sizes the one with the smaller id counts as the larger
+    pairs = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "n", "inside", "tie")
     no_links = F.lit(None).cast("long").alias("links")
-    inside = found.filter("inside").select("a", "b", "n", F.lit(False).alias("tie"), no_links)
-    ties = found.filter("tie").select("a", "b", F.lit(None).cast("long").alias("n"), F.lit(True).alias("tie"), no_links)
-    return ends[0].unionAll(ends[1]).unionAll(inside).unionAll(ties)
+    inside = pairs.filter("inside").select("a", "b", "n", F.lit(False).alias("tie"), no_links)
+    ties = pairs.filter("tie").select("a", "b", F.lit(None).cast("long").alias("n"), F.lit(True).alias("tie"), no_links)
+    return ends.unionAll(inside).unionAll(ties)

@@ -176,7 +176,7 @@ def test_every_link_is_found_without_any_family(spark, monkeypatch):
     degree = Counter(x for p in brute_links([r for r in rows if r[0] is not None]) for x in p)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = {i: degree[0 if i in (200, 201) else i] for i, _ in rows if i is not None}
-    for options in ({}, {"known_rows": 0, "group_entries": 300, "shard_entries": 200, "shard_texts": 3}):
+    for options in ({}, {"known_rows": 0, "group_entries": 300, "shard_entries": 200, "shard_texts": 3, "set_bytes": 2000}):
         got = {r.doc_id: r for r in ct.near_duplicates(df, far=options).collect() if r.doc_id is not None}
         assert {i: r.n_links for i, r in got.items()} == want
         assert len({got[i].class_id for i in range(0, 60, 4)}) == 1
