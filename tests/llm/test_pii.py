@@ -153,6 +153,19 @@ def test_empty_and_whole_table(spark, sf_dir):
             assert r.text[a:b] not in out[r.doc_id].text
 
 
+def test_memory_of_a_scan_does_not_follow_the_batch():
+    import tracemalloc
+
+    texts = pa.array(["plain words of no one, " * 500 + TEXTS[3]] * 1000)
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in pii.scan(texts)) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts.nbytes > 11_000_000 and peak < 60_000_000
+
+
 @pytest.mark.parametrize(
     "text",
     [

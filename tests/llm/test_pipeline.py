@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
-from gleaner.llm import pii, registry
+from gleaner.llm import pii, registry, scratch
 from gleaner.llm.containment import near_duplicates
 from gleaner.llm.decontamination import contaminated_pairs
 
@@ -75,6 +76,29 @@ def test_near_dedup_keeps_one_row_of_each_class(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text[:2]) for r in few) == [("1", "w0"), ("6", "a "), ("6", "c "), ("None", "v0")]
 
 
+def test_every_stage_begins_with_trimmed_heaps(spark, monkeypatch):
+    class TrimmedError(Exception):
+        pass
+
+    def trim_heaps(_):
+        raise TrimmedError
+
+    monkeypatch.setattr(scratch, "trim_heaps", trim_heaps)
+    for _, stage in cp.STAGES:
+        with pytest.raises(TrimmedError):
+            stage(spark, None, SF)
+
+
+def test_trim_heaps_collects_in_tasks_and_driver(spark):
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collections()
+    scratch.trim_heaps(spark)
+    assert collections() >= before + 2  # tasks and driver share a JVM here; collections asked for at once may be one
+
+
 def test_registered():
     import __spark_entry__ as e
 
