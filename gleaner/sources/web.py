@@ -6,13 +6,15 @@ import json
 import mimetypes
 import random
 import ssl
+import threading
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from queue import SimpleQueue
 from urllib.parse import urlencode, urljoin
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -96,6 +98,96 @@ def urllib_agent(conf: Conf) -> Agent:
     return lambda trace: run_trace(trace, one)
 
 
+class _Slot:
+    """What a thread of ``Sessions`` is doing: its attempt, when that began, and whether it was given up."""
+
+    __slots__ = ("job", "since", "lost")
+
+    def __init__(self) -> None:
+        self.job, self.since, self.lost = None, 0.0, False
+
+
+class Sessions:
+    """Threads that run traces side by side, each with one attempt after another and none of them with a thread for itself.
+
+    An attempt that takes longer than ``limit`` seconds has failed. As nothing can stop its thread, that one is left behind and another takes its place.
+    """
+
+    def __init__(self, run: Agent, size: int, limit: float, times: int) -> None:
+        self.run, self.limit, self.times = run, limit, times
+        self.lock, self.done, self.jobs = threading.Lock(), threading.Event(), SimpleQueue()
+        self.slots: list[_Slot] = []
+        for _ in range(size):
+            self._start()
+
+    def _start(self) -> None:
+        self.slots.append(slot := _Slot())
+        threading.Thread(target=self._work, args=(slot,), daemon=True).start()
+
+    def _work(self, slot: _Slot) -> None:
+        while (job := self.jobs.get()) is not None:
+            slot.since, slot.job = time.monotonic(), job
+            try:
+                got = self.run(job[1])
+            except BaseException as e:
+                got = e
+            with self.lock:
+                if slot.lost:
+                    return
+                slot.job = None
+                self._settle(job, got)
+
+    def _settle(self, job: tuple[int, list[dict], int], got: list[dict] | BaseException) -> None:
+        i, trace, left = job
+        if isinstance(got, Exception) and left > 1:
+            self.jobs.put((i, trace, left - 1))
+            return
+        self.out[i] = got
+        self.open -= 1
+        if not self.open:
+            self.done.set()
+
+    def map(self, traces: list[list[dict]]) -> list[list[dict] | Exception]:
+        """What each trace gives, or the failure of its last attempt."""
+        if self.times < 1:
+            return [ValueError("at least one attempt is needed") for _ in traces]
+        if not traces:
+            return []
+        self.out, self.open = [None] * len(traces), len(traces)
+        self.done.clear()
+        for i, trace in enumerate(traces):
+            self.jobs.put((i, trace, self.times))
+        wait = self.limit
+        while not self.done.wait(wait):
+            with self.lock:
+                now = time.monotonic()
+                for slot in [x for x in self.slots if x.job is not None and now - x.since >= self.limit]:
+                    slot.lost = True
+                    self.slots.remove(slot)
+                    self._start()
+                    self._settle(slot.job, TimeoutError())
+                wait = max(0.001, min([self.limit, *(x.since + self.limit - now for x in self.slots if x.job is not None)]))
+        for got in self.out:
+            if isinstance(got, BaseException) and not isinstance(got, Exception):
+                raise got
+        return self.out
+
+    def close(self) -> None:
+        for _ in self.slots:
+            self.jobs.put(None)
+
+
+def _traces(column: pa.Array) -> list[list[dict]]:
+    """A column of traces as Python lists, made a field at a time."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        return column.to_pylist()
+    names = [f.name for f in flat.type]
+    steps = [dict(zip(names, x)) for x in zip(*(x.to_pylist() for x in flat.flatten()))]
+    ends = pc.cumulative_sum(pc.list_value_length(column)).to_pylist()
+    return [steps[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def agent_fetcher(make_agent: Callable[[], Agent], conf: Conf | None = None, sessions: int = 4) -> Callable[[DataFrame], DataFrame]:
     """A fetcher that runs each trace with an agent of its partition; failures after all attempts become error rows.
 
@@ -110,28 +202,19 @@ def agent_fetcher(make_agent: Callable[[], Agent], conf: Conf | None = None, ses
                 agent = make_agent()
                 close = getattr(agent, "close", None)
                 last: tuple[str | None, list[dict]] = (None, [])
-                pool = ThreadPoolExecutor(sessions)
-
-                def attempt(trace: list[dict]) -> list[dict]:
-                    # a thread of its own, as nothing can stop one that hangs
-                    inner = ThreadPoolExecutor(1)
-                    try:
-                        return inner.submit(lambda: [d for d in agent(trace) if d.get("content") is not None]).result(limit)
-                    finally:
-                        inner.shutdown(wait=False)
-
-                def go(trace: list[dict]) -> list[dict]:
-                    try:
-                        return [{"kind": "doc", "error": None} | d for d in retried(lambda: attempt(trace), conf.remote_retries)] or [{"kind": "nodoc"}]
-                    except Exception as e:  # told in the row
-                        return [{"kind": "error", "error": f"{type(e).__name__}: {e}", "uri": trace[-1]["uri"] if trace else None}]
+                pool = Sessions(lambda trace: [d for d in agent(trace) if d.get("content") is not None], sessions, limit, conf.remote_retries)
+
+                def told(trace: list[dict], got: list[dict] | Exception) -> list[dict]:
+                    if isinstance(got, Exception):  # told in the row
+                        return [{"kind": "error", "error": f"{type(got).__name__}: {got}", "uri": trace[-1]["uri"] if trace else None}]
+                    return [{"kind": "doc", "error": None} | d for d in got] or [{"kind": "nodoc"}]
 
                 try:
                     for batch in batches:
                         names = batch.column("_trace_key").to_pylist()
-                        traces = batch.column("_trace").to_pylist()
+                        traces = _traces(batch.column("_trace"))
                         heads = [i for i, k in enumerate(names) if not share or k != (names[i - 1] if i else last[0])]
-                        found = dict(zip(heads, pool.map(go, [traces[i] for i in heads])))
+                        found = {i: told(traces[i], got) for i, got in zip(heads, pool.map([traces[i] for i in heads]))}
                         rows, docs = [], []
                         for i, k in enumerate(names):
                             if i in found:
@@ -142,7 +225,7 @@ def agent_fetcher(make_agent: Callable[[], Agent], conf: Conf | None = None, ses
                         new = [pa.array([d.get(c) for d in docs], pa.int32() if t == "int" else pa.string()) for c, t in DOC.items()]
                         yield pa.RecordBatch.from_arrays([*carried.columns, *new], names=[*batch.schema.names, *DOC])
                 finally:
-                    pool.shutdown(wait=False)
+                    pool.close()
                     if close:
                         close()
 

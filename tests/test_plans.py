@@ -105,6 +105,42 @@ def test_loops_retries_and_timeouts(spark):
     assert r.kind == "error" and "Timeout" in r.error
 
 
+def test_sessions_keep_their_threads(spark):
+    import threading
+
+    def agent(trace):
+        return [{"uri": trace[0]["uri"], "content": threading.current_thread().name}]
+
+    rows = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("u"))
+    got = fetch.fetch(rows, F.array(ac.get_column(F.col("u"))), web.agent_fetcher(lambda: agent, sessions=4), locality="passthrough").collect()
+    assert len(got) == 400 and all(r.u == r.uri for r in got) and len({r.content for r in got}) <= 4
+
+
+def test_a_hanging_session_is_left_behind():
+    import threading
+
+    tries, free = [], threading.Event()
+
+    def run(trace):
+        tries.append(trace)
+        if trace == "hang":
+            free.wait(20)
+        if trace == "shaky" and tries.count("shaky") < 2:
+            raise OSError("once")
+        if trace == "bad":
+            raise KeyError("x")
+        return [trace]
+
+    pool = web.Sessions(run, 1, 0.3, 2)
+    got = pool.map(["a", "hang", "shaky", "bad", "z"])
+    assert got[0] == ["a"] and got[2] == ["shaky"] and got[4] == ["z"] and isinstance(got[1], TimeoutError) and isinstance(got[3], KeyError)
+    assert [tries.count(x) for x in ("a", "hang", "shaky", "bad", "z")] == [1, 2, 2, 2, 1]
+    assert pool.map(["b"] * 5) == [["b"]] * 5 and pool.map([]) == []
+    free.set()
+    pool.close()
+    assert isinstance(web.Sessions(run, 1, 1, 0).map(["a"])[0], ValueError)
+
+
 def test_errors_are_rows_and_outer_keeps(spark):
     rows = spark.createDataFrame([(1, ["a", "z"]), (2, [])], "id int, us array<string>")
     traces = F.transform("us", lambda u: ac.get_column(u))
