@@ -20,6 +20,8 @@ from .actions import trace_key
 
 Fetcher = Callable[[DataFrame], DataFrame]
 DOC = ["uri", "kind", "error", "content"]
+#: As many keys of ``key_by`` have their documents broadcast, so that rows stay where they are however few keys they share.
+FEW_KEYS = 64
 
 
 def table_fetcher(pages: DataFrame, uri: str = "url", content: str = "html") -> Fetcher:
@@ -70,7 +72,7 @@ def fetch(
     neither of these moves rows. ``cache_aware`` is wide with rows and documents partitioned alike, so that later fetches of the same
     keys need no new exchange. Of the traces that ``key_by`` makes the same, the one of the first row runs (by ``order``, else as the table lies).
     ``cached`` holds documents by ``_trace_key`` that are not fetched again; with ``remote`` false all others are errors.
-    Rows without a trace join no exchange of keys, so any number of them is harmless.
+    Rows without a trace join no exchange of keys, so any number of them is harmless. With ``key_by`` the keys are counted at once (no trace runs for that).
     """
     if locality not in ("wide", "narrow", "passthrough", "cache_aware"):
         raise ValueError(f"unknown locality {locality}")
@@ -86,13 +88,20 @@ def fetch(
     else:
         if locality == "cache_aware":
             full = full.repartition("_trace_key")
-        keys = full.groupBy("_trace_key").agg(F.min_by("_trace", F.struct("_place", "_index")).alias("_trace"))
+        keys = _first_traces(full)
         docs = _resolve(keys, fetcher, cached, remote).drop("_trace")
-        out = full.join(docs, "_trace_key", "left")
+        few = key_by is not None and locality == "wide" and len(full.select("_trace_key").distinct().limit(FEW_KEYS + 1).collect()) <= FEW_KEYS
+        out = full.join(F.broadcast(docs) if few else docs, "_trace_key", "left")
     more = {f.name: F.lit(None).cast(f.dataType) for f in out.schema if f.name not in (*marked.columns, *none)}
     return out.unionByName(marked.filter(bare).withColumns(none | more)).drop("_place")
 
 
+def _first_traces(full: DataFrame) -> DataFrame:
+    """Each key with the trace of its first row. Equal traces of a key are merged first: that keeps numbers only and needs no sort of all rows."""
+    merged = full.groupBy("_trace_key", "_trace", "_index", F.col("_place").isNull().alias("_no_place")).agg(F.min("_place").alias("_place"))
+    return merged.groupBy("_trace_key").agg(F.min_by("_trace", F.struct("_place", "_index")).alias("_trace"))
+
+
 def _once_a_run(fetcher: Fetcher, merge: bool) -> Fetcher:
     """Fetchers that can share documents between rows of one key that follow each other are told to."""
     sharing = getattr(fetcher, "sharing", None)

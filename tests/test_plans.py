@@ -105,6 +105,32 @@ def test_loops_retries_and_timeouts(spark):
     assert r.kind == "error" and "Timeout" in r.error
 
 
+def test_few_keys_move_and_sort_no_rows(spark, sf_dir):
+    from gleaner import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["fetch_key_by"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [_trace_key" in plan and "SortMergeJoin [_trace_key" not in plan
+    on_rows = [x for x in plan.splitlines() if "Aggregate(key" in x and "min_by" not in x and "min(uri" not in x]
+    assert on_rows and not [x for x in on_rows if "SortAggregate" in x]
+
+
+def test_first_trace_of_many_keys(spark):
+    """Above FEW_KEYS nothing is broadcast; among the traces of a row, its first counts; a row without a place comes before all."""
+    rows = spark.range(0, 3000, 1, 5).select("id", (F.col("id") % 500).alias("k"), F.when(F.col("id") % 500 == 7, F.lit(None)).otherwise(-F.col("id")).alias("at"))
+    traces = F.array(ac.get_column(F.concat(F.lit("z"), "id")), ac.get_column(F.concat(F.lit("a"), "id")))
+    agent = lambda trace: [{"uri": trace[0]["uri"], "content": "x"}]
+    run = lambda rows: {r.k: (r.first, r.n) for r in fetch.fetch(rows, traces, web.agent_fetcher(lambda: agent), key_by=F.col("k"), order=F.col("at")).groupBy("k").agg(F.count("*").alias("n"), F.min("uri").alias("first"), F.max("uri").alias("last")).filter("first = last").collect()}
+    want = {k: (f"z{2500 + k}", 12) for k in range(500) if k != 7}
+    got = run(rows.filter("k <> 7"))
+    assert got == want and run(rows.filter("k < 5")) == {k: want[k] for k in range(5)}
+    assert run(rows.filter("k = 7").unionByName(spark.sql("SELECT 3L id, 7L k, 1L at")))[7][0] != "z3"
+
+
 def test_sessions_keep_their_threads(spark):
     import threading
 
