@@ -48,6 +48,16 @@ def test_cut_references_as_in_sql(spark, tmp_path, name):
     assert sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want
 
 
+def test_pieces_are_put_together(spark):
+    pages = [f"<ul>{'<li>' * (i % 3)}{i}</ul><!--{'x' * 12_000}-->" for i in range(200)]
+    assert sum(map(len, pages)) > 2 * html.PIECE
+    df = spark.createDataFrame(list(enumerate([*pages, None])), "id int, html string").coalesce(1)
+    want = [{"text": [li.text() for li in html.find_all(html.parse(p), "li")]} for p in [*pages, None]]
+    for kept in (df, df.filter("id < 0")):
+        got = {r.id: r.v for r in kept.select("id", html.select_values(F.col("html"), "li").alias("v")).collect()}
+        assert got == ({i: w["text"] for i, w in enumerate(want)} if kept is df else {})
+
+
 def test_siblings_stop_at_the_next_match():
     root = html.parse(PAGE)
     rows = html.with_siblings(html.find_all(root, "li.m"), -2, 2)
