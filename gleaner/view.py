@@ -15,6 +15,12 @@ from .plans import fetch as fe
 from .sources import files
 
 
+def exploded(df: DataFrame, kept: list[str], array: Column, pos: str, name: str) -> DataFrame:
+    """A row for each element. Rows with none are dropped afterwards: from an inner explode the optimizer makes a filter on the array, and where
+    Python makes that, every page would be parsed twice, in two workers."""
+    return df.select(*kept, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
 class View:
     def __init__(self, df: DataFrame, conf: Conf | None = None) -> None:
         self.df, self.conf = df.select("*"), conf or Conf()
@@ -42,14 +48,12 @@ class View:
     def flat_map(self, array: Column, name: str = "value", keep: list[str] | None = None, index: str | None = None) -> View:
         """One row for each element, with its index among them if asked for; rows with none are dropped."""
         kept = keep if keep is not None else self.df.columns
-        if index is None:
-            return self._with(self.df.select(*kept, F.explode(array).alias(name)))
-        return self._with(self.df.select(*kept, F.posexplode(array).alias(index, name)))
+        out = exploded(self.df, kept, array, index or "_pos", name)
+        return self._with(out if index else out.drop("_pos"))
 
     def fork(self, array: Column, name: str = "value", ordinal: str | None = None, how: str = "outer") -> View:
         """One row for each element with its place; ``inner`` drops rows with none, ``outer`` keeps them with nulls. Places are arrays of one int."""
-        fn = F.posexplode if how == "inner" else F.posexplode_outer
-        out = self.df.select("*", fn(array).alias("_pos", name))
+        out = exploded(self.df, ["*"], array, "_pos", name) if how == "inner" else self.df.select("*", F.posexplode_outer(array).alias("_pos", name))
         if ordinal:
             out = out.withColumn(ordinal, F.when(F.col("_pos").isNotNull(), F.array("_pos")))
         return self._with(out.drop("_pos"))

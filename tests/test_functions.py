@@ -48,6 +48,27 @@ def test_cut_references_as_in_sql(spark, tmp_path, name):
     assert sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want
 
 
+def test_pages_are_parsed_once_and_their_trees_let_go(spark, sf_dir, monkeypatch):
+    import gc
+    import weakref
+
+    for name in ("html_find_all", "html_href_absolute"):
+        assert catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+    class Seen(html.Node):
+        __slots__ = ("__weakref__",)
+
+    monkeypatch.setattr(html, "Node", Seen)
+    root = html.parse(PAGE)
+    nodes_of = [weakref.ref(n) for n in root.walk()]
+    gc.disable()
+    try:
+        root.release()
+        assert len(nodes_of) > 20 and not any(r() for r in nodes_of)
+    finally:
+        gc.enable()
+
+
 def test_pieces_are_put_together(spark):
     pages = [f"<ul>{'<li>' * (i % 3)}{i}</ul><!--{'x' * 12_000}-->" for i in range(200)]
     assert sum(map(len, pages)) > 2 * html.PIECE
